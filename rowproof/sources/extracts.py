@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from rowproof.functions.text import missing_tokens_to_null
 
 RAW_PARTS = "*PrimeTransactions*.csv"
-POSITION = "_source_position"
 
 
 def _csv(spark: SparkSession):
@@ -26,12 +25,14 @@ def read_strings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_raw_transactions(spark: SparkSession, folder: str, fiscal_year: int | str) -> DataFrame:
+def read_raw_transactions(
+    spark: SparkSession, folder: str, fiscal_year: int | str, pattern: str = RAW_PARTS
+) -> DataFrame:
     """All parts of a year. Parts with the same header are one scan; others are unioned."""
     nothing = f"No raw transaction files found for FY{fiscal_year}. Run acquisition first."
     path = f"{folder}/fy{fiscal_year}"
     try:
-        listing = spark.read.option("pathGlobFilter", RAW_PARTS).text(path)
+        listing = spark.read.option("pathGlobFilter", pattern).text(path)
     except AnalysisException as error:
         raise FileNotFoundError(nothing) from error
     files = sorted(listing.inputFiles())
