@@ -67,8 +67,15 @@ def shown_time(moment: Column) -> Column:
 
 
 def plain_number(number: Column) -> Column:
-    """At most six decimals without an exponent or trailing zeros, for JSON text."""
-    text = number.cast("decimal(38,6)").cast("string")
+    """At most six decimals without an exponent or trailing zeros, for JSON text.
+
+    Rounds the value, not its shortest decimal text, which would turn 0.49999999999 of a
+    unit into a half; beyond 2^53 millionths there is nothing left to round.
+    """
+    millionths = F.rint(number * 1000000).cast("decimal(32,0)")
+    text = F.when(
+        F.abs(number) < 9e9, (millionths * F.lit("0.000001").cast("decimal(6,6)")).cast("string")
+    ).otherwise(number.cast("decimal(38,6)").cast("string"))
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ".0")
 
 

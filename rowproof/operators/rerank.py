@@ -115,7 +115,7 @@ def fit_reranker(examples: DataFrame, iterations: int = 1000) -> PipelineModel:
             regParam=1.0 / count,
             standardization=False,
             maxIter=iterations,
-            tol=1e-9,
+            tol=1e-6,
         ),
     ]
     return Pipeline(stages=stages).fit(examples.withColumn("class_weight", weight))
