@@ -11,24 +11,28 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Accepted date layouts, tried in this order; anything else becomes null.
+# Fixed value: every character that counts as white space at either end of a text.
+WHITE_SPACE = "".join(
+    chr(code)
+    for code in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
+
+# Accepted date layouts: the part before the time, and how to write it the ISO way.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
 DATE_LAYOUTS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "yyyyMMdd",
+    (rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})({_TIME})$", "$1$2"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})({_TIME})$", "$3-$1-$2$4"),
+    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})({_TIME})$", "$1-$2-$3$4"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})({_TIME})$", "$1-$2-$3$4"),
 )
 
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean(text: Column) -> Column:
@@ -47,8 +51,15 @@ def to_number(text: Column) -> Column:
 
 
 def to_utc(text: Column) -> Column:
-    """A timestamp by the first layout that fits, or null. Sessions run in UTC."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS])
+    """A timestamp by the first layout that fits, or null. Sessions run in UTC.
+
+    The layouts are rewritten to ISO and cast: unlike ``try_to_timestamp`` per layout,
+    a text that does not fit costs no exception.
+    """
+    iso = F.lit(None).cast("string")
+    for pattern, form in reversed(DATE_LAYOUTS):
+        iso = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form)).otherwise(iso)
+    return iso.try_cast("timestamp")
 
 
 def signed_log1p(number: Column) -> Column:

@@ -916,7 +916,9 @@ SQL["reference_stats"] = f"WITH {VIEWS} " + " UNION ALL ".join(
 
 
 def _plain(value: str) -> str:
-    text = f"rtrim(CAST(CAST({value} AS DECIMAL(38,6)) AS VARCHAR), '0')"
+    """Six decimals, halves to even."""
+    millionths = f"CAST(round_even(({value}) * 1000000, 0) AS DECIMAL(30,0))"
+    text = f"rtrim(CAST({millionths} * CAST('0.000001' AS DECIMAL(7,6)) AS VARCHAR), '0')"
     return f"regexp_replace({text}, '\\.$', '.0')"
 
 
