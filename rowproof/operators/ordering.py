@@ -17,6 +17,7 @@ from rowproof.session import cut
 
 _PART, _AT, _BEFORE = "_part", "_at", "_before"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its lower bits
+COPIES_AT_ONCE = 100_000  # rows that one task may write out for one group of equal rows
 
 
 def number_rows(
@@ -46,6 +47,41 @@ def number_rows(
     )
 
 
+def number_copies(
+    frame: DataFrame,
+    order: Sequence[str],
+    column: str = "position",
+    at_once: int = COPIES_AT_ONCE,
+) -> DataFrame:
+    """Positions for rows that may be equal in every column; ties go by the other columns.
+
+    Equal rows cannot be told apart by a range partitioning, so a large group of copies
+    would be one task. Each distinct row is numbered once with its count, and the copies
+    are written out again, large groups in chunks that are spread over the cluster.
+    """
+    names = frame.columns
+    keys = [*order, *[name for name in names if name not in order]]
+    counted = frame.groupBy(*[f"`{name}`" for name in names]).agg(
+        F.count(F.lit(1)).alias("_copies")
+    )
+    numbered = running_sums(counted, [], keys, ["_copies"])
+    first = F.col("_copies_running") - F.col("_copies")
+    placed = numbered.select(*names, "_copies", first.alias("_first"))
+    few = placed.where(F.col("_copies") <= at_once).select(
+        *names, "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias(_AT)
+    )
+    last = F.floor((F.col("_copies") - 1) / at_once)
+    chunks = (
+        placed.where(F.col("_copies") > at_once)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .repartition("_first", "_chunk")
+    )
+    start = F.col("_chunk") * at_once
+    end = F.least(start + at_once, F.col("_copies")) - 1
+    many = chunks.select(*names, "_first", F.explode(F.sequence(start, end)).alias(_AT))
+    return few.unionByName(many).select(*names, (F.col("_first") + F.col(_AT)).alias(column))
+
+
 def running_sums(
     frame: DataFrame, groups: Sequence[str], order: Sequence[str], amounts: Sequence[str]
 ) -> DataFrame:

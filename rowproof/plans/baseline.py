@@ -81,11 +81,9 @@ def run_period(
 ) -> DataFrame:
     """Measure one prepared period and write labels, findings and metrics."""
     vendors, transactions = read_period(spark, folder, fiscal_year)
-    key = "contract_transaction_unique_key"
-    rest = [name for name in transactions.columns if name != key]
     labels, findings, metrics = measured_period(
-        add_record_ids(vendors, "vendor", ["vendor_id"]),
-        add_record_ids(transactions, "transaction", [key, *rest]),
+        add_record_ids(vendors, "vendor", ["vendor_id"], unique=True),
+        add_record_ids(transactions, "transaction", ["contract_transaction_unique_key"]),
         fiscal_year,
         weights,
         seed,

@@ -274,7 +274,8 @@ def coerce_types(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def record_ids(spark: SparkSession, folder: str) -> DataFrame:
     customer = views.table(spark, folder, "customer")
-    numbered = normalize.add_record_ids(customer, "vendor", ["c_nationkey", "c_custkey"])
+    order = ["c_nationkey", "c_custkey"]
+    numbered = normalize.add_record_ids(customer, "vendor", order, unique=True)
     return numbered.select("c_custkey", "_record_id")
 
 

@@ -11,22 +11,31 @@ from rowproof.functions.text import missing_tokens_to_null
 RAW_PARTS = "*PrimeTransactions*.csv"
 
 
-def _csv(spark: SparkSession):
-    return (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    )
+def _csv(spark: SparkSession, multi_line: bool = True):
+    reader = spark.read.option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line)
 
 
-def read_strings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A CSV with a header, every column as string; missing tokens become null."""
-    frame = _csv(spark).csv(paths)
+def read_strings(
+    spark: SparkSession, paths: str | list[str], multi_line: bool = True
+) -> DataFrame:
+    """A CSV with a header, every column as string; missing tokens become null.
+
+    Texts with line breaks need ``multi_line``, which reads a file in one task; turn it
+    off to split large files without such texts.
+    """
+    frame = _csv(spark, multi_line).csv(paths)
     return frame.select(
         *[missing_tokens_to_null(F.col(f"`{name}`")).alias(name) for name in frame.columns]
     )
 
 
 def read_raw_transactions(
-    spark: SparkSession, folder: str, fiscal_year: int | str, pattern: str = RAW_PARTS
+    spark: SparkSession,
+    folder: str,
+    fiscal_year: int | str,
+    pattern: str = RAW_PARTS,
+    multi_line: bool = True,
 ) -> DataFrame:
     """All parts of a year. Parts with the same header are one scan; others are unioned."""
     nothing = f"No raw transaction files found for FY{fiscal_year}. Run acquisition first."
@@ -42,7 +51,7 @@ def read_raw_transactions(
     for name in files:
         # only the first line of the part is read
         by_header.setdefault(tuple(_csv(spark).csv(name).columns), []).append(name)
-    frames = [read_strings(spark, names) for names in by_header.values()]
+    frames = [read_strings(spark, names, multi_line) for names in by_header.values()]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)

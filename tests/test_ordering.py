@@ -8,6 +8,7 @@ from rowproof.operators.lookup import lookup
 from rowproof.operators.ordering import (
     exact_quantiles,
     higher_quantile,
+    number_copies,
     number_rows,
     running_sums,
     share_at_or_below,
@@ -24,6 +25,16 @@ def test_positions_follow_the_order(spark):
     assert sorted(r["position"] for r in rows) == list(range(1000))
 
 
+@pytest.mark.parametrize("at_once", [7, 100_000])
+def test_copies_get_positions_of_their_own(spark, at_once):
+    values = [("b", 1)] * 100 + [("a", i) for i in range(50)] + [("b", 0), (None, 2)]
+    frame = spark.createDataFrame(values, "key string, n int").repartition(5)
+    rows = number_copies(frame, ["key"], "position", at_once).collect()
+    expected = sorted(values, key=lambda v: (v[0] or "", v[1]))
+    assert [(r["key"], r["n"]) for r in sorted(rows, key=lambda r: r["position"])] == expected
+    assert sorted(r["position"] for r in rows) == list(range(len(values)))
+
+
 def test_positions_of_nothing(spark):
     assert number_rows(spark.createDataFrame([], "id long"), ["id"]).count() == 0
 
