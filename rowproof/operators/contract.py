@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from rowproof.functions.text import clean, strip, to_number, to_utc
 from rowproof.plans.catalogue import WEIGHTS, check_weights
+from rowproof.session import cut
 
 
 @dataclass(frozen=True)
@@ -243,9 +244,12 @@ def unknown_keys(
 def validate_pair(
     vendors: DataFrame, transactions: DataFrame, contract: Contract = PROCUREMENT
 ) -> tuple[DataFrame, DataFrame]:
-    """Validate both tables and the reference from transactions to vendors."""
-    parent = validate_table(vendors, contract.vendor, "vendor")
-    child = validate_table(transactions, contract.transaction, "transaction")
+    """Validate both tables and the reference from transactions to vendors.
+
+    The typed tables are written, so that uploads are parsed once for all that follows.
+    """
+    parent = cut(validate_table(vendors, contract.vendor, "vendor"))
+    child = cut(validate_table(transactions, contract.transaction, "transaction"))
     link = contract.relationship
     unknown = unknown_keys(parent, child, link.to_column, link.from_column)
     # five rows and a count; the key list itself stays distributed

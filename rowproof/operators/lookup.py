@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,22 @@ def measure(table: DataFrame, key: str, weight: str) -> tuple[int, int]:
     )
 
 
+def settle(table: DataFrame, key: str, weight: str) -> tuple[DataFrame, tuple[int, int]]:
+    """Write a lookup table and measure what was written."""
+    written = cut(table)
+    return written, measure(written, key, weight)
+
+
+def settle_all(
+    tables: Sequence[tuple[DataFrame, str, str]],
+) -> list[tuple[DataFrame, tuple[int, int]]]:
+    """``settle`` for independent tables, as jobs that run side by side."""
+    if len(tables) < 2:
+        return [settle(*table) for table in tables]
+    with ThreadPoolExecutor(max_workers=min(8, len(tables))) as pool:
+        return list(pool.map(lambda table: settle(*table), tables))
+
+
 def lookup(
     frame: DataFrame,
     table: DataFrame,
@@ -42,8 +61,7 @@ def lookup(
     of the ``spread`` column.
     """
     if measured is None:
-        table = cut(table)
-        measured = measure(table, key, weight)
+        table, measured = settle(table, key, weight)
     size, total = measured
     if size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return frame.join(F.broadcast(table), key, "left")

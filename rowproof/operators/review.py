@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowproof.functions.text import json_list
 from rowproof.operators.anomaly import by_priority
 from rowproof.plans.catalogue import TOP_K
+from rowproof.session import cut
 
 TIER = 1000
 
@@ -79,6 +80,8 @@ def guarded_queue(scores: DataFrame, findings: DataFrame, check: bool = True) ->
         (tier * TIER + within).alias("priority_score"),
     )
     if check:
+        # one row per record: written once, checked and returned
+        queue = cut(queue)
         require_critical(queue, findings)
     return by_priority(queue)
 

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions.text import shown, shown_time, strip
-from rowproof.operators.lookup import lookup
+from rowproof.operators.lookup import lookup, settle_all
 from rowproof.plans.catalogue import ISSUES, STATE_CODES, Issue, check_weights
 
 EXTRA_ISSUE = 5  # risk added per further issue of the same record
 HIGHEST_RISK = 100
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Rule:
     """``predicate`` null means no finding. ``lookup_key`` asks for a key flag first."""
 
@@ -156,20 +156,16 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
     return used.join(present, key, "left_anti")
 
 
-def _with_flags(
-    frame: DataFrame, rules: Sequence[Rule], parent: DataFrame | None, record_id: str
-) -> DataFrame:
-    flagged = frame
-    for rule in rules:
-        if rule.lookup_key is None:
-            continue
-        if rule.relationship:
-            keys = orphan_keys(frame, rule.lookup_key, parent, rule.parent_key)
-        else:
-            keys = repeated_keys(frame, rule.lookup_key)
-        keys = keys.withColumnRenamed("n", rule.flag)
-        flagged = lookup(flagged, keys, rule.lookup_key, weight=rule.flag, spread=record_id)
-    return flagged
+def _key_table(rule: Rule, frame: DataFrame, parent: DataFrame | None) -> DataFrame:
+    if rule.relationship:
+        keys = orphan_keys(frame, rule.lookup_key, parent, rule.parent_key)
+    else:
+        keys = repeated_keys(frame, rule.lookup_key)
+    return keys.withColumnRenamed("n", rule.flag)
+
+
+def _key_rules(rules: Sequence[Rule]) -> list[Rule]:
+    return [rule for rule in rules if rule.lookup_key is not None]
 
 
 def find_issues(
@@ -178,13 +174,21 @@ def find_issues(
     weights: dict[str, int],
     parent: DataFrame | None = None,
     record_id: str = "_record_id",
+    settled: dict[str, tuple] | None = None,
 ) -> DataFrame:
     """Findings of one table, unordered.
 
     All hits of a record sit in one array, so its risk needs no shuffle:
-    ``min(100, weight + 5 * (hits - 1))``.
+    ``min(100, weight + 5 * (hits - 1))``. ``settled`` holds key tables written before.
     """
-    flagged = _with_flags(frame, rules, parent, record_id)
+    if settled is None:
+        settled = _settle({rule: (frame, parent) for rule in _key_rules(rules)})
+    flagged = frame
+    for rule in _key_rules(rules):
+        keys, measured = settled[rule.flag]
+        flagged = lookup(
+            flagged, keys, rule.lookup_key, weight=rule.flag, spread=record_id, measured=measured
+        )
     hits = F.filter(
         F.array(
             *[
@@ -221,6 +225,15 @@ def find_issues(
     )
 
 
+def _settle(sources: dict[Rule, tuple[DataFrame, DataFrame | None]]) -> dict[str, tuple]:
+    """Write the key tables of all rules, side by side."""
+    tables = [
+        (_key_table(rule, frame, parent), rule.lookup_key, rule.flag)
+        for rule, (frame, parent) in sources.items()
+    ]
+    return dict(zip((rule.flag for rule in sources), settle_all(tables)))
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Worst first; a distributed sort."""
     return findings.orderBy(
@@ -241,17 +254,27 @@ def run_rules(
     """Findings of both tables, worst first. ``names`` are the tables the rules refer to."""
     check_weights(weights, {rule.issue.name: rule.issue for rule in rules})
     frames = dict(zip(names, (parent, child)))
-    parts = []
-    for table in names:
-        if targets is not None and table not in targets:
-            continue
-        selected = [
+    selected = {
+        table: [
             rule
             for rule in rules
             if rule.issue.table == table and (relationships or not rule.relationship)
         ]
-        if selected:
-            parts.append(find_issues(frames[table], selected, weights, parent, record_id))
+        for table in names
+        if targets is None or table in targets
+    }
+    settled = _settle(
+        {
+            rule: (frames[table], parent)
+            for table, chosen in selected.items()
+            for rule in _key_rules(chosen)
+        }
+    )
+    parts = [
+        find_issues(frames[table], chosen, weights, parent, record_id, settled)
+        for table, chosen in selected.items()
+        if chosen
+    ]
     if not parts:
         raise ValueError("No rule is selected")
     findings = parts[0]

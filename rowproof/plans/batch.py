@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from rowproof.operators.contract import PROCUREMENT, Contract, validate_pair, validate_table
 from rowproof.operators.normalize import add_record_ids
 from rowproof.operators.rules import procurement_rules, run_rules
+from rowproof.session import cut
 
 
 @dataclass(frozen=True)
@@ -20,8 +21,8 @@ class Scored:
 
 
 def _numbered(frame: DataFrame, table: str, order: Sequence[str] | None) -> DataFrame:
-    """By the given total order, else by business key and then all other columns."""
-    return add_record_ids(frame, table, order or frame.columns)
+    """By the given order and then all other columns. Written, as every key rule reads it."""
+    return cut(add_record_ids(frame, table, order or frame.columns))
 
 
 def score_batch(

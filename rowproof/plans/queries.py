@@ -21,7 +21,7 @@ from rowproof.operators import normalize, ordering, profile, rerank, review
 from rowproof.operators import rules as R
 from rowproof.plans import baseline, batch, experiment, views
 from rowproof.plans.catalogue import WEIGHTS, Issue
-from rowproof.session import prepare, shared_folder
+from rowproof.session import cut, prepare, shared_folder
 from rowproof.sources import extracts, sinks, snapshots
 from rowproof.streaming import score as streaming
 
@@ -139,7 +139,7 @@ def findings_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """The same rule kinds on another pair: orders that are not pending, and all lines."""
     orders = views.table(spark, folder, "orders").where("o_orderstatus <> 'P'")
     lines = views.table(spark, folder, "lineitem")
-    child = normalize.add_record_ids(
+    child = cut(normalize.add_record_ids(
         lines.select(
             F.col("l_orderkey").alias("order_key"),
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_key"),
@@ -148,7 +148,7 @@ def findings_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "line",
         ["line_key", "flag", "shipped"],
-    )
+    ))
     parent = orders.select(F.col("o_orderkey").alias("order_key"))
     return R.run_rules(parent, child, _line_rules(), LINE_WEIGHTS, names=("order", "line"))
 
@@ -815,13 +815,14 @@ def record_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def guarded_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(review.guarded_queue(_scores(spark, folder), findings_ranked(spark, folder)))
+    findings = cut(findings_ranked(spark, folder))
+    return rounded(review.guarded_queue(_scores(spark, folder), findings))
 
 
 @register
 def suppressed_critical(spark: SparkSession, folder: str) -> DataFrame:
     """The invariant's check, against a queue that lost its vendor records."""
-    findings = findings_ranked(spark, folder)
+    findings = cut(findings_ranked(spark, folder))
     queue = review.record_ranking(findings).where("target_table = 'transaction'")
     return review.suppressed_critical(queue, findings)
 
