@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,30 +190,36 @@ def find_issues(
         flagged = lookup(
             flagged, keys, rule.lookup_key, weight=rule.flag, spread=record_id, measured=measured
         )
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(
-                    rule.hit,
-                    F.struct(
-                        F.lit(rule.issue.table).alias("target_table"),
-                        F.lit(rule.issue.name).alias("issue_type"),
-                        F.lit(rule.issue.severity).alias("severity"),
-                        F.lit(rule.issue.rank).alias("severity_rank"),
-                        rule.evidence.alias("evidence"),
-                        F.lit(weights[rule.issue.name]).alias("weight"),
-                    ),
-                )
-                for rule in rules
-            ]
-        ),
-        lambda hit: hit.isNotNull(),
+    # no higher-order function: the array, the count and the explode all compile to Java
+    slots = F.array(
+        *[
+            F.when(
+                rule.hit,
+                F.struct(
+                    F.lit(rule.issue.table).alias("target_table"),
+                    F.lit(rule.issue.name).alias("issue_type"),
+                    F.lit(rule.issue.severity).alias("severity"),
+                    F.lit(rule.issue.rank).alias("severity_rank"),
+                    rule.evidence.alias("evidence"),
+                    F.lit(weights[rule.issue.name]).alias("weight"),
+                ),
+            )
+            for rule in rules
+        ]
+    )
+    issues = reduce(
+        lambda left, right: left + right,
+        [F.when(rule.hit, F.lit(1)).otherwise(F.lit(0)) for rule in rules],
+    )
+    found = flagged.select(
+        F.col(record_id).cast("string").alias("record_id"),
+        slots.alias("slots"),
+        issues.alias("issues"),
+    )
+    # the outer form: explode() makes Catalyst infer a filter that evaluates every rule again
+    exploded = found.select("record_id", "issues", F.explode_outer("slots").alias("hit")).where(
+        F.col("hit").isNotNull()
     )
-    found = flagged.select(F.col(record_id).cast("string").alias("record_id"), hits.alias("hits"))
-    # the outer form: explode() makes Catalyst infer a filter that evaluates every rule twice
-    exploded = found.select(
-        "record_id", F.size("hits").alias("issues"), F.explode_outer("hits").alias("hit")
-    ).where(F.col("hit").isNotNull())
     risk = F.least(F.lit(HIGHEST_RISK), F.col("hit.weight") + EXTRA_ISSUE * (F.col("issues") - 1))
     return exploded.select(
         "hit.target_table",
