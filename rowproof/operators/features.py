@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from rowproof.functions.text import clean, signed_log1p, to_number
 from rowproof.operators.lookup import lookup
 from rowproof.operators.ordering import exact_quantiles, stack_columns
-from rowproof.session import cut
+from rowproof.session import cut, small_table
 
 TRANSFORMS = {"identity": lambda value: value, "signed_log1p": signed_log1p}
 _TOLERANCE = 1e-9
@@ -200,7 +200,7 @@ def fit_features(
             raise ValueError("Feature pipelines cannot be fitted on an empty frame")
         check_features(frame, schema)
     spark = frame.sparkSession
-    numeric = spark.createDataFrame([], _NUMERIC_FIT)
+    numeric = small_table(spark, [], _NUMERIC_FIT)
     if schema.numeric:
         # one row per declared feature
         rows = [tuple(row) for row in fit_numeric(frame, schema).collect()]
@@ -209,8 +209,8 @@ def fit_features(
                 raise ValueError(
                     f"Numeric feature {feature.source!r} has no non-missing training values"
                 )
-        numeric = spark.createDataFrame(rows, _NUMERIC_FIT)
-    categorical = spark.createDataFrame([], _CATEGORICAL_FIT)
+        numeric = small_table(spark, rows, _NUMERIC_FIT)
+    categorical = small_table(spark, [], _CATEGORICAL_FIT)
     if schema.categorical:
         categorical = cut(fit_categorical(frame, schema))
     return FeatureFit(numeric, categorical)
@@ -288,7 +288,7 @@ def save_fit(fit: FeatureFit, schema: FeatureSchema, path: str) -> None:
     fit.numeric.write.mode("overwrite").parquet(f"{path}/numeric")
     fit.categorical.write.mode("overwrite").parquet(f"{path}/categorical")
     text = json.dumps(asdict(schema), sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
+    small_table(spark, [(text,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/schema"
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowproof.operators.lookup import lookup
-from rowproof.session import cut
+from rowproof.session import cut, small_table
 
 _PART, _AT, _BEFORE = "_part", "_at", "_before"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its lower bits
@@ -39,7 +39,7 @@ def number_rows(
         offsets.append((part, before))
         before += size
     # one row per range partition
-    shifts = frame.sparkSession.createDataFrame(offsets, f"{_PART} int, {_BEFORE} long")
+    shifts = small_table(frame.sparkSession, offsets, f"{_PART} int, {_BEFORE} long")
     return (
         placed.join(F.broadcast(shifts), _PART)
         .withColumn(column, F.col(_BEFORE) + F.col(_AT))
@@ -106,7 +106,7 @@ def running_sums(
     fields += [f"`{name}` {frame.schema[name].dataType.simpleString()}" for name in groups]
     fields += [f"`{_BEFORE}_{name}` long" for name in amounts]
     # one row per range partition and group
-    shifts = frame.sparkSession.createDataFrame(offsets, ", ".join(fields))
+    shifts = small_table(frame.sparkSession, offsets, ", ".join(fields))
     upto = (
         Window.partitionBy(_PART, *groups)
         .orderBy(*order)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowproof.functions.text import json_list
 from rowproof.operators.anomaly import by_priority
 from rowproof.plans.catalogue import TOP_K
-from rowproof.session import cut
+from rowproof.session import cut, small_table
 
 TIER = 1000
 
@@ -134,7 +134,8 @@ def review_table(
     for place, row in enumerate(rows, start=1):
         row["queue_position"] = place
     layout = f"{findings.schema.simpleString()[7:-1]},queue_position:int"
-    visible = findings.sparkSession.createDataFrame(
+    visible = small_table(
+        findings.sparkSession,
         [tuple(row[name] for name in [*findings.columns, "queue_position"]) for row in rows],
         layout,
     )

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,3 +58,12 @@ def cut(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], layout: str) -> DataFrame:
+    """A table from a bounded number of driver rows, as a local relation: no tasks to scan."""
+    schema = T.StructType.fromDDL(layout)
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow))

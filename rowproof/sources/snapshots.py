@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.session import small_table
+
 
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(file, bytes, sha256) of every file below ``folder``, hashed on the executors."""
@@ -40,7 +42,7 @@ def snapshot_is_valid(
         if name.startswith("/") or ".." in name.split("/"):
             return False
         rows.append((name, int(entry["bytes"]), str(entry["sha256"])))
-    wanted = spark.createDataFrame(rows, "file string, bytes long, sha256 string")
+    wanted = small_table(spark, rows, "file string, bytes long, sha256 string")
     found = file_digests(spark, folder)
     return wanted.join(found, ["file", "bytes", "sha256"], "left_anti").isEmpty()
 
