@@ -924,7 +924,7 @@ def _plain(value: str) -> str:
 
 SQL["evidence_topk"] = f"""
 WITH points AS (
-  SELECT o_orderkey AS id, round(o_totalprice / 1000, 2) AS price,
+  SELECT o_orderkey AS id, floor(o_totalprice / 10) / 100 AS price,
          CAST(o_custkey AS DOUBLE) AS customer, CAST(month(o_orderdate) AS DOUBLE) AS month,
          CAST(day(o_orderdate) AS DOUBLE) AS day FROM orders
 ), long AS (
@@ -976,7 +976,7 @@ GROUP BY asked.id
 
 _SCORES = """
 percentiles AS (
-  SELECT *, round(least(1.0, federal_action_obligation / 500000), 4) AS percentile
+  SELECT *, least(1.0::DOUBLE, floor(federal_action_obligation / 50) / 10000) AS percentile
   FROM transactions
 ),
 scores AS (
