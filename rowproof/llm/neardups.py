@@ -1,7 +1,7 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of five words. A shingle weighs (1 + ln tf) times a damped inverse document frequency
-between 0.9 and 1, counted over all documents in 2^18 hash buckets: the damping keeps what a
+between 0.95 and 1, counted over all documents in 2^18 hash buckets: the damping keeps what a
 large group of near copies shares from weighing less than its edits. Improved consistent weighted sampling
 draws ``BANDS * ROWS`` samples per document; ``ROWS`` samples together are a band key. Documents that
 share a key are compared by their samples inside bounded groups, where each passes on its nearest few;
@@ -37,11 +37,11 @@ from rowproof.session import cut
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 16
 SAMPLES = ROWS * BANDS
-GROUP, ANCHORS = 1024, 4
-NEAREST = 2  # pairs each member of a group passes on
+GROUP, ANCHORS = 512, 8
+NEAREST = 8  # pairs each member of a group passes on
 CLOSE = 0.6  # share of equal samples from which a pair is verified
 FREQUENCY_BITS = 18
-DAMPING = 0.1
+DAMPING = 0.05
 _BLOCK = 1 << 19
 
 
@@ -166,13 +166,13 @@ def nearest_pairs(signed: DataFrame, group: int = GROUP) -> DataFrame:
         # texts that share most with others; each group of a hot key gets the best of them
         reach = members.groupBy("d").agg(F.sum("n").alias("reach"))
         some = members.where(F.col("n") > group).join(reach, "d")
-        best = some.groupBy("key", "n").agg(F.max(F.struct("reach", "d")).alias("top0"))
-        tops = best.select("key", "n", F.col("top0.d").alias("d"))
-        for place in range(1, ANCHORS):
-            # the next best by another order each: no sort of a hot key's members in one task
-            more = some.groupBy("key", "n").agg(F.max(F.struct("reach", F.xxhash64("d", F.lit(place)), "d")).alias("t"))
-            tops = tops.unionByName(more.select("key", "n", F.col("t.d").alias("d")))
-        anchors = tops.distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        # the best of each of ANCHORS slots: no sort of a hot key's members in one task
+        best = some.groupBy("key", "n", F.pmod(F.xxhash64("d"), F.lit(ANCHORS)).alias("slot")).agg(
+            F.max(F.struct("reach", "d")).alias("top")
+        )
+        anchors = best.select("key", "n", F.col("top.d").alias("d")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        )
         dealt = dealt.unionByName(anchors.select(*dealt.columns)).distinct()
     grouped = dealt.select("key", "part", "d").join(signed.select("d", "signature"), "d")
     boxed = grouped.groupBy("key", "part").agg(F.collect_list(F.struct("d", "signature")).alias("members"))
