@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowproof.llm.blocks import raw_texts
+from rowproof.llm.blocks import raw_texts, row_ranges
 from rowproof.session import cut
 
 SIZE = 2048
 END = b"\0\0\0\0"
-KNOWN_WORDS = 300_000  # encoded words a worker remembers
+KNOWN_WORDS = 600_000  # encoded words a worker remembers
+TOGETHER = 2000  # new words encoded as one text
 TOKENIZER = "word_bpe_49k.json"
+MARKS = ".,;:!?#$%&*"  # none of them begins a contraction or can combine with a letter
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -57,22 +59,48 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.known[word] for word in words])
-        except KeyError:
-            self._learn(words)
-            return b"".join([self.known[word] for word in words])
-
-    def _learn(self, words: list[str]) -> None:
-        new = [word for word in dict.fromkeys(words) if word not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {"": b""}
-            new = list(dict.fromkeys(words))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.last[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts. The tokenizer lower-cases: doing A-Z first makes more words known."""
+        split = [
+            (text if b"<|" in text else text.lower()).decode("utf-8", "replace").replace("\n", " ").split(" ")
+            for text in texts
+        ]
+        new = set().union(*split).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > KNOWN_WORDS:
+                self.known = {"": b""}
+                new = set().union(*split)
+            self._learn(new)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def _learn(self, words: set[str]) -> None:
+        """A mark after a letter or digit is a token run of its own: ``word,`` is ``word`` and ``,``."""
+        stems = {word: stem for word in words if (stem := word.rstrip(MARKS)) != word and stem and stem[-1].isalnum()}
+        parts = set(words).difference(stems)
+        for word, stem in stems.items():
+            parts.add(stem)
+            parts.add(word[len(stem) :])
+        new = parts.difference(self.known)
+        plain = [word for word in new if word.isalpha()]
+        for start in range(0, len(plain), TOGETHER):
+            some = plain[start : start + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) == len(some):  # each word ends once: these are its own ids
+                content, begin = ids.tobytes(), 0
+                for word, end in zip(some, ends.tolist()):
+                    self.known[word] = content[begin:end]
+                    begin = end
+        rest = list(new.difference(self.known))
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for word, stem in stems.items():
+            self.known[word] = self.known[stem] + self.known[word[len(stem) :]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -94,8 +122,13 @@ def cut_documents(documents: DataFrame, path: str, id_column: str, text: str, si
             data, offsets = raw_texts(batch.column(1))
             content = data.tobytes()
             rows, piece, start, length, crc, number = [], [], [], [], [], []
-            for row in range(batch.num_rows):
-                ids = encoder.encode(content[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")) + END
+            encoded = (
+                ids
+                for low, high in row_ranges(offsets)
+                for ids in encoder.encode([content[offsets[i] : offsets[i + 1]] for i in range(low, high)])
+            )
+            for row, ids in enumerate(encoded):
+                ids += END
                 for place, begin in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[begin : begin + 4 * size]
                     many = len(part) // 4
