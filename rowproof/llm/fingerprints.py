@@ -103,20 +103,22 @@ def fingerprint_documents(
         "_place",
     ).drop("_place")
 
-    sketched = add_sketch(base, "_text", "_sketch", k)
-    sent = sketched.join(
+    # sketches are made after each move of the texts: they cost less to make twice than to shuffle
+    sent = base.join(
         links,
         (F.col("_k1") == F.col("from_k1")) & (F.col("_k2") == F.col("from_k2")) & F.col("_id").eqNullSafe(F.col("from_id")),
     )
     sent = (
-        sent.select("to_id", "to_k1", "to_k2", F.expr("substring(_text, 1, _half)").alias("_start"), F.col("_sketch").alias("_next"))
+        add_sketch(sent, "_text", "_next", k)
+        .select("to_id", "to_k1", "to_k2", F.expr("substring(_text, 1, _half)").alias("_start"), "_next")
         .groupBy("to_k1", "to_k2", "to_id")  # equal rows send the same
         .agg(F.first("_start").alias("_start"), F.first("_next").alias("_next"))
     )
-    joined = sketched.join(
+    joined = base.join(
         sent,
         (F.col("_k1") == F.col("to_k1")) & (F.col("_k2") == F.col("to_k2")) & F.col("_id").eqNullSafe(F.col("to_id")),
     )
+    joined = add_sketch(joined, "_text", "_sketch", k)
     length = F.char_length("_text")
     edited = joined.select(
         F.col("_id"),
