@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.session import small_table
 
+PART = 1 << 20
+
 
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file below ``folder``, hashed on the executors."""
+    """(file, bytes, sha256) of every file below ``folder``.
+
+    Files are hashed on the executors a megabyte at a time, whatever their size, and opened by
+    Arrow, which knows local files, HDFS, S3 and GCS.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(folder)
     )
-    # paths come back as URIs; keep what follows the folder
-    tail = F.element_at(F.split("path", folder.rstrip("/").split("/")[-1] + "/"), -1)
-    return files.select(
-        tail.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    # paths come back as URIs; keep what follows the resolved folder
+    root = _resolved(spark, folder)
+    listed = files.select(
+        F.substring("path", len(root) + 2, 1 << 20).alias("file"), F.col("length").alias("bytes"), "path"
     )
+    return listed.mapInArrow(_hashed, "file string, bytes long, sha256 string")
+
+
+def _resolved(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString().rstrip("/")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            if path.startswith("file:"):
+                files, name = pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                files, name = pyarrow.fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(name) as content:
+                while part := content.read(PART):
+                    digest.update(part)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file"), batch.column("bytes"), pa.array(digests, pa.string())],
+            ["file", "bytes", "sha256"],
+        )
 
 
 def snapshot_is_valid(
@@ -32,7 +72,7 @@ def snapshot_is_valid(
 
     An empty or malformed manifest is not valid.
     """
-    if not manifest:
+    if not manifest or not _exists(spark, folder):
         return False
     rows = []
     for entry in manifest:
