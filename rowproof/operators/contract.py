@@ -137,7 +137,12 @@ def coerced(name: str, kind: str, source: T.DataType) -> Column:
     if kind == "integer":
         if isinstance(source, T.IntegralType):
             return value.cast("long")
-        return _as_number(value, source).try_cast("long")
+        number = _as_number(value, source).try_cast("long")
+        if isinstance(source, T.StringType):
+            # whole numbers as they stand: a double holds 53 bits only
+            digits = F.regexp_extract(clean(value), r"^[+-]?[0-9]+$", 0)
+            return F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), number)
+        return number
     return _as_number(value, source)
 
 

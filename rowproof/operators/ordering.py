@@ -129,7 +129,7 @@ def exact_quantiles(
     afterwards; unlike ``percentile`` no task holds all values of a group.
     """
     counted = (
-        values.where(F.col(value).isNotNull())
+        values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )

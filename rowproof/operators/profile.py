@@ -29,8 +29,15 @@ def semantic_type(name: str, kind: T.DataType, unique_ratio: Column) -> Column:
 
 def _comparable(name: str, kind: T.DataType) -> Column:
     """A value as short text for distinct counting; equal texts mean equal values."""
+    return digest_long(_present(name, kind).cast("string"))
+
+
+def _present(name: str, kind: T.DataType) -> Column:
+    """The value with NaN as missing and one zero."""
     value = F.col(f"`{name}`")
-    return digest_long(value.cast("string"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), F.when(value == 0, F.lit(0.0).cast(kind)).otherwise(value))
+    return value
 
 
 def profile_table(frame: DataFrame, exact: bool = True) -> DataFrame:
@@ -63,8 +70,8 @@ def profile_table(frame: DataFrame, exact: bool = True) -> DataFrame:
     else:
         wide = frame.agg(
             F.count(F.lit(1)).alias("_rows"),
-            *[F.count_if(F.col(f"`{n}`").isNull()).alias(f"_m{i}") for i, (n, _) in enumerate(fields)],
-            *[F.approx_count_distinct(f"`{n}`").alias(f"_u{i}") for i, (n, _) in enumerate(fields)],
+            *[F.count_if(_present(n, k).isNull()).alias(f"_m{i}") for i, (n, k) in enumerate(fields)],
+            *[F.approx_count_distinct(_present(n, k)).alias(f"_u{i}") for i, (n, k) in enumerate(fields)],
         )
         rows = [
             F.struct(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions.text import json_list
@@ -101,19 +101,22 @@ def by_severity(findings: DataFrame, levels: Collection[str]) -> DataFrame:
     return findings.where(F.col("severity").isin(*levels) if levels else F.lit(False))
 
 
+def mixed_order() -> list[Column]:
+    return [F.md5("finding_id").asc(), F.asc("finding_id")]
+
+
 def mixed_queue(findings: DataFrame) -> DataFrame:
     """A fixed shuffle: order by a hash of the finding id."""
-    return findings.orderBy(F.md5("finding_id"), "finding_id")
+    return findings.orderBy(*mixed_order())
+
+
+def confidence_order() -> list[Column]:
+    best = [F.desc_nulls_last("model_confidence"), F.desc_nulls_last("risk_score")]
+    return [*best, F.asc("target_table"), F.asc("record_id"), F.asc("issue_type")]
 
 
 def confidence_queue(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        F.desc_nulls_last("model_confidence"),
-        F.desc_nulls_last("risk_score"),
-        "target_table",
-        "record_id",
-        "issue_type",
-    )
+    return findings.orderBy(*confidence_order())
 
 
 def queue_order() -> list:

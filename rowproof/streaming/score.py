@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rowproof.operators.contract import TableContract, coerced, split_records
 from rowproof.operators.rules import Rule, find_issues
 from rowproof.sources.sinks import save_run
 
@@ -28,14 +29,30 @@ def score_stream(
     return find_issues(stream, row_local(rules, table), weights, record_id=record_id)
 
 
-def write_findings(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to Parquet until everything available is read."""
+def validated(
+    stream: DataFrame, table: str, contract: TableContract, fiscal_year: int
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted in declared types, refused with ``problems``), row by row before any scoring."""
+    kinds = {field.name: field.dataType for field in stream.schema}
+    known = [column for column in contract.columns if column.name in kinds]
+    others = [name for name in stream.columns if name not in {column.name for column in known}]
+    typed = stream.select(
+        *[coerced(column.name, column.kind, kinds[column.name]).alias(column.name) for column in known],
+        *[f"`{name}`" for name in others],
+    )
+    return split_records(typed, table, contract, F.lit(fiscal_year))
+
+
+def write_findings(
+    findings: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append to Parquet; without a ``trigger`` until everything available is read."""
     return (
         findings.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -52,25 +69,30 @@ def write_runs(
     name: str = "stream",
     schema_version: str = "1.0.0",
     model_version: str = "deterministic-baseline-v1",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Save every micro-batch as a run whose id comes from the batch id: retries replace it."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        count = batch.agg(F.count(F.lit(1))).first()[0]
-        save_run(
-            score_stream(batch, rules, weights, table),
-            path,
-            run_id=f"{name}-{batch_id:08d}",
-            fiscal_year=fiscal_year,
-            vendor_records=count if table == "vendor" else 0,
-            transaction_records=count if table == "transaction" else 0,
-            schema_version=schema_version,
-            model_version=model_version,
-        )
+        batch.persist()  # counted and scored
+        try:
+            count = batch.count()
+            save_run(
+                score_stream(batch, rules, weights, table),
+                path,
+                run_id=f"{name}-{batch_id:08d}",
+                fiscal_year=fiscal_year,
+                vendor_records=count if table == "vendor" else 0,
+                transaction_records=count if table == "transaction" else 0,
+                schema_version=schema_version,
+                model_version=model_version,
+            )
+        finally:
+            batch.unpersist()
 
     return (
         records.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
