@@ -140,8 +140,10 @@ WITH {VIEWS}, v AS (
 ), t AS (
   SELECT * REPLACE (printf('transaction:%08d',
            row_number() OVER (ORDER BY {KEY}, action_date, federal_action_obligation) - 1)
-           AS _record_id)
-  FROM transactions WHERE vendor_id IN (SELECT vendor_id FROM vendors)
+           AS _record_id,
+           CASE WHEN vendor_id IN (SELECT vendor_id FROM vendors) THEN vendor_id
+                ELSE (SELECT min(vendor_id) FROM vendors) END AS vendor_id)
+  FROM transactions
 )
 {findings(v="v", t="t")}
 """
@@ -972,6 +974,8 @@ FROM asked JOIN reach ON reach.id = asked.other JOIN density ON density.id = ask
 GROUP BY asked.id
 """
 
+SQL["lof_scores_blocks"] = SQL["lof_scores"]
+
 # --- review queues -----------------------------------------------------------------------
 
 _SCORES = """
@@ -1039,16 +1043,18 @@ identified AS (
 )
 """
 SQL["mixed_queue"] = f"""
-WITH {FOUND}, {_IDENTIFIED} SELECT finding_id, record_id, issue_type, risk_score FROM identified
-ORDER BY md5(finding_id), finding_id LIMIT 100
+WITH {FOUND}, {_IDENTIFIED}
+SELECT row_number() OVER (ORDER BY md5(finding_id), finding_id) - 1 AS position,
+       finding_id, record_id, issue_type, risk_score
+FROM identified
 """
 SQL["confidence_queue"] = f"""
 WITH {FOUND}, {_IDENTIFIED}
-SELECT finding_id, record_id, issue_type, round(model_confidence, 6) AS model_confidence
+SELECT row_number() OVER (
+         ORDER BY model_confidence DESC NULLS LAST, risk_score DESC NULLS LAST, target_table,
+                  record_id, issue_type) - 1 AS position,
+       finding_id, record_id, issue_type, round(model_confidence, 6) AS model_confidence
 FROM identified
-ORDER BY model_confidence DESC NULLS LAST, risk_score DESC NULLS LAST, target_table, record_id,
-         issue_type
-LIMIT 100
 """
 SQL["review_table"] = f"""
 WITH {FOUND}, {_IDENTIFIED}, source_keys AS (

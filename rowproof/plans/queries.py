@@ -26,7 +26,7 @@ from rowproof.sources import extracts, sinks, snapshots
 from rowproof.streaming import score as streaming
 
 SEED = 20240622
-PER_TYPE = 10  # the smallest folder has 150 vendors
+PER_TYPE = 40
 K = 50
 MIDDLE = "1998-04-17"  # splits the orders into two periods
 
@@ -136,8 +136,8 @@ def _line_rules() -> list[R.Rule]:
 
 @register
 def findings_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """The same rule kinds on another pair: orders that are not pending, and all lines."""
-    orders = views.table(spark, folder, "orders").where("o_orderstatus <> 'P'")
+    """The same rule kinds on another pair: all lines, and orders whose key is another if pending."""
+    orders = views.table(spark, folder, "orders")
     lines = views.table(spark, folder, "lineitem")
     child = cut(normalize.add_record_ids(
         lines.select(
@@ -149,7 +149,8 @@ def findings_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         "line",
         ["line_key", "flag", "shipped"],
     ))
-    parent = orders.select(F.col("o_orderkey").alias("order_key"))
+    key = F.col("o_orderkey")
+    parent = orders.select(F.when(F.col("o_orderstatus") == "P", -1 - key).otherwise(key).alias("order_key"))
     return R.run_rules(parent, child, _line_rules(), LINE_WEIGHTS, names=("order", "line"))
 
 
@@ -177,10 +178,13 @@ def _as_text(frame: DataFrame) -> DataFrame:
 
 
 def _valid_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The pair without the orders of unknown vendors, as an upload has to be."""
+    """The pair with unknown vendors of orders replaced by the first one, as an upload has to be."""
     data = views.pair(spark, folder)
-    known = data.vendors.select("vendor_id").distinct()
-    return data.vendors, data.transactions.join(known, "vendor_id", "left_semi")
+    known = data.vendors.select("vendor_id", F.col("vendor_id").alias("_known")).distinct()
+    first = data.vendors.agg(F.min("vendor_id").alias("_first"))  # one row
+    orders = data.transactions.join(known, "vendor_id", "left").join(F.broadcast(first), F.lit(True))
+    orders = orders.withColumn("vendor_id", F.coalesce("_known", "_first"))
+    return data.vendors, orders.select(*data.transactions.columns)
 
 
 @register
@@ -752,6 +756,13 @@ def lof_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(lof.score_lof(vectors, lof.fit_lof(vectors, 35)))
 
 
+@register
+def lof_scores_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scores with reference vectors in many blocks."""
+    vectors = _embeddings(spark, folder)
+    return rounded(lof.score_lof(vectors, lof.fit_lof(vectors, 35, block_rows=64)))
+
+
 @register
 def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _embeddings(spark, folder)
@@ -845,16 +856,16 @@ def _identified(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def mixed_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """The first hundred of the fixed shuffle."""
-    found = review.mixed_queue(_identified(spark, folder)).limit(100)
-    return rounded(found.select("finding_id", "record_id", "issue_type", "risk_score"))
+    """All findings with their position in the fixed shuffle."""
+    found = ordering.number_rows(_identified(spark, folder), review.mixed_order())
+    return rounded(found.select("position", "finding_id", "record_id", "issue_type", "risk_score"))
 
 
 @register
 def confidence_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred findings with the highest confidence."""
-    found = review.confidence_queue(_identified(spark, folder)).limit(100)
-    return rounded(found.select("finding_id", "record_id", "issue_type", "model_confidence"))
+    """All findings with their position by confidence."""
+    found = ordering.number_rows(_identified(spark, folder), review.confidence_order())
+    return rounded(found.select("position", "finding_id", "record_id", "issue_type", "model_confidence"))
 
 
 @register
@@ -961,7 +972,7 @@ def rerank_model(spark: SparkSession, folder: str) -> DataFrame:
     """Learn from all verdicts and rank all findings of the rules with the model."""
     training = rerank.train_reranker(_feedback(spark, folder))
     findings = findings_ranked(spark, folder)
-    return rerank.rerank(findings, training.model)
+    return rerank.rerank(findings, training.model if training.promoted else None)
 
 
 @register
@@ -974,7 +985,7 @@ def feedback_store(spark: SparkSession, folder: str) -> DataFrame:
     """Append a batch of verdicts on a saved run and join them with their findings."""
     path, run = scratch(spark), "run-1"
     _save(spark, folder, path, run)
-    findings = spark.read.parquet(f"{path}/findings")
+    findings = sinks.read_runs(spark, f"{path}/findings")
     verdict = F.when(F.col("severity") == "critical", "correct_flag").otherwise("false_alarm")
     batch_ = findings.select(
         "finding_id",
@@ -1122,7 +1133,7 @@ def stream_runs(spark: SparkSession, folder: str) -> DataFrame:
         f"{path}/checkpoint",
         fiscal_year=2024,
     ).awaitTermination()
-    found = spark.read.parquet(f"{path}/findings")
+    found = sinks.read_runs(spark, f"{path}/findings")
     return found.select("record_id", "issue_type", "risk_score", "review_priority")
 
 
