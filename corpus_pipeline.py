@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowproof.llm import language, mixing, neardups, packing, secrets
-from rowproof.llm.common import is_held_out, table
-from rowproof.session import cut, prepare
+from rowproof.llm.common import is_held_out, small_batches, table
+from rowproof.session import cut
+from rowproof.session import prepare as prepare_session
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    small_batches(prepare_session(spark))
+    return spark
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

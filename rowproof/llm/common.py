@@ -11,11 +11,19 @@ from rowproof.session import cut
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+ARROW_ROWS = 1000
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark) -> None:
+    """Whole texts in batches of ``ARROW_ROWS`` rows: what a Python worker holds stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def text_of(frame: DataFrame, column: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

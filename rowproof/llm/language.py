@@ -31,10 +31,10 @@ from rowproof.llm.common import with_fields
 
 ORDER, BITS = 4, 6
 UNKNOWN = "und"
-FLUSH = 1 << 21  # distinct (language, 4-gram) pairs a task holds before it passes them on
+FLUSH = 1 << 20  # distinct (language, 4-gram) pairs a task holds before it passes them on
 # rejection above mean + the larger of Z deviations and LEAST + ROOM / sqrt(characters), in nats
 Z, LEAST, ROOM = 8.0, 1.0, 4.0
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 @cache

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.llm.blocks import SHINGLE_ROWS, mix, shingles, word_blocks
+from rowproof.llm.blocks import SHINGLE_ROWS, mix, raw_texts, row_ranges, shingles, word_blocks
 from rowproof.llm.common import broadcast_if_small
 from rowproof.operators.lookup import lookup
 from rowproof.session import cut
@@ -256,8 +256,10 @@ def verify(pairs: DataFrame, texts: DataFrame, rarity, least: float = SIMILAR) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            sizes = sum(np.diff(raw_texts(batch.column(name))[1]) for name in ("_one", "_other"))
+            # bounded work whatever the texts: long ones are compared a pair at a time
+            for start, end in row_ranges(np.concatenate([[0], np.cumsum(sizes)]), _BLOCK):
+                part = batch.slice(start, end - start)
                 near = similarities(part.column("_one"), part.column("_other"), rarity.value)
                 yield part.select(["a", "b"]).filter(pa.array(near >= least))
 

@@ -29,7 +29,7 @@ from rowproof.session import cut
 
 SIZE = 2048
 END = b"\0\0\0\0"
-KNOWN_WORDS = 600_000  # encoded words a worker remembers
+KNOWN_WORDS = 400_000  # encoded words a worker remembers
 TOGETHER = 2000  # new words encoded as one text
 TOKENIZER = "word_bpe_49k.json"
 MARKS = ".,;:!?#$%&*"  # none of them begins a contraction or can combine with a letter

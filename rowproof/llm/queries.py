@@ -19,8 +19,13 @@ from rowproof.llm import (
     toxicity,
     transcripts,
 )
-from rowproof.llm.common import is_held_out, table
-from rowproof.session import prepare
+from rowproof.llm.common import is_held_out, small_batches, table
+from rowproof.session import prepare as prepare_session
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    small_batches(prepare_session(spark))
+    return spark
 
 
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
