@@ -26,7 +26,7 @@ from rowproof.sources import extracts, sinks, snapshots
 from rowproof.streaming import score as streaming
 
 SEED = 20240622
-PER_TYPE = 40
+PER_TYPE = 30  # the documented 40 leave too few eligible vendors in the smallest folder
 K = 50
 MIDDLE = "1998-04-17"  # splits the orders into two periods
 
