@@ -68,53 +68,40 @@ class Contract:
         return self.vendor if name == "vendor" else self.transaction
 
 
-def _declare(text: str) -> tuple[ColumnRule, ...]:
-    """``name:kind`` per word; a trailing ``!`` forbids nulls."""
-    rules = []
-    for word in text.split():
-        name, kind = word.rstrip("!").split(":")
-        rules.append(ColumnRule(name, kind, nullable=not word.endswith("!")))
-    return tuple(rules)
-
-
 # The declared input contract of the procurement pair.
 PROCUREMENT = Contract(
     vendor=TableContract(
         "vendor_id",
-        _declare(
-            """
-            vendor_id:string!
-            recipient_name:string
-            recipient_uei:string
-            recipient_country_code:string
-            recipient_state_code:string
-            source_transaction_count:integer!
-            address_variant_count:integer!
-            contracting_officers_determination_of_business_size_code:string
-            """
+        (
+            ColumnRule("vendor_id", "string", nullable=False),
+            ColumnRule("recipient_name", "string"),
+            ColumnRule("recipient_uei", "string"),
+            ColumnRule("recipient_country_code", "string"),
+            ColumnRule("recipient_state_code", "string"),
+            ColumnRule("source_transaction_count", "integer", nullable=False),
+            ColumnRule("address_variant_count", "integer", nullable=False),
+            ColumnRule("contracting_officers_determination_of_business_size_code", "string"),
         ),
     ),
     transaction=TableContract(
         "contract_transaction_unique_key",
-        _declare(
-            """
-            contract_transaction_unique_key:string!
-            vendor_id:string!
-            federal_action_obligation:number
-            total_dollars_obligated:number
-            number_of_offers_received:integer
-            action_date:datetime!
-            period_of_performance_start_date:datetime
-            period_of_performance_current_end_date:datetime
-            award_type_code:string
-            type_of_contract_pricing_code:string
-            action_type_code:string
-            product_or_service_code:string
-            naics_code:string
-            extent_competed_code:string
-            solicitation_procedures_code:string
-            type_of_set_aside_code:string
-            """
+        (
+            ColumnRule("contract_transaction_unique_key", "string", nullable=False),
+            ColumnRule("vendor_id", "string", nullable=False),
+            ColumnRule("federal_action_obligation", "number"),
+            ColumnRule("total_dollars_obligated", "number"),
+            ColumnRule("number_of_offers_received", "integer"),
+            ColumnRule("action_date", "datetime", nullable=False),
+            ColumnRule("period_of_performance_start_date", "datetime"),
+            ColumnRule("period_of_performance_current_end_date", "datetime"),
+            ColumnRule("award_type_code", "string"),
+            ColumnRule("type_of_contract_pricing_code", "string"),
+            ColumnRule("action_type_code", "string"),
+            ColumnRule("product_or_service_code", "string"),
+            ColumnRule("naics_code", "string"),
+            ColumnRule("extent_competed_code", "string"),
+            ColumnRule("solicitation_procedures_code", "string"),
+            ColumnRule("type_of_set_aside_code", "string"),
         ),
     ),
     relationship=Relationship("transaction_vendor", "vendor_id", "vendor_id"),

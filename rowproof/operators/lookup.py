@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rowproof.session import cut
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 64
+FEWEST_PORTIONS, MOST_PORTIONS = 64, 4096
+ROWS_PER_TASK = 1_000_000
 _SALT = "_salt"
 
 
@@ -42,6 +43,12 @@ def settle_all(
         return list(pool.map(lambda table: settle(*table), tables))
 
 
+def rows_per_task(total: int) -> int:
+    """Rows of one key that stay together: a million, within 1/4096 and 1/64 of all rows."""
+    most, least = -(-total // FEWEST_PORTIONS), -(-total // MOST_PORTIONS)
+    return max(1, min(most, max(ROWS_PER_TASK, least)))
+
+
 def lookup(
     frame: DataFrame,
     table: DataFrame,
@@ -56,9 +63,9 @@ def lookup(
 
     ``weight`` counts how many rows of ``frame`` hold the key. The table is written and
     measured, unless the caller did so: a small one is broadcast, so the wide side never
-    moves. Otherwise both sides are shuffled; the keys that own more than 1/64 of the
-    counted rows (at most 64 of them) and the null keys are spread over 64 salts by a hash
-    of the ``spread`` column.
+    moves. Otherwise both sides are shuffled; a key with more rows than one task should hold
+    gets as many salts as it has such portions, null keys get ``MOST_PORTIONS``, and rows are
+    spread over the salts by a hash of the ``spread`` column.
     """
     if measured is None:
         table, measured = settle(table, key, weight)
@@ -66,20 +73,15 @@ def lookup(
     if size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return frame.join(F.broadcast(table), key, "left")
 
-    heavy = F.col(weight) * SALTS > F.lit(total)
-    # at most SALTS keys can each hold more than 1/SALTS of the rows
-    hot = table.where(heavy).select(key, F.lit(True).alias("_hot"))
+    portion = rows_per_task(total)
+    salts = F.ceil(F.col(weight) / portion).cast("int")
+    heavy = F.col(weight) > portion
+    # at most MOST_PORTIONS keys can each hold more than a portion of the rows
+    hot = table.where(heavy).select(key, salts.alias("_salts"))
+    many = F.coalesce("_salts", F.when(F.col(key).isNull(), F.lit(MOST_PORTIONS)), F.lit(1))
     salted = frame.join(F.broadcast(hot), key, "left").withColumn(
-        _SALT,
-        F.when(
-            F.col("_hot").isNotNull() | F.col(key).isNull(),
-            F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"),
-        ).otherwise(F.lit(0)),
-    )
-    copies = table.withColumn(
-        _SALT,
-        F.explode(
-            F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        _SALT, F.pmod(F.xxhash64(spread), many).cast("int")
     )
-    return salted.join(copies, [key, _SALT], "left").drop(_SALT, "_hot")
+    every = F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)
+    copies = table.withColumn(_SALT, F.explode(every))
+    return salted.join(copies, [key, _SALT], "left").drop(_SALT, "_salts")

@@ -210,7 +210,7 @@ def train_reranker(
     enough = sufficiency(prepared, config)
     if not all(enough.first()):
         gates = enough.withColumn("promoted", F.lit(False))
-        reason = "Insufficient decisive feedback for candidate training."
+        reason = "Too few decisive verdicts to learn from."
         return Training(None, gates, training_examples=prepared.count(), reason=reason)
     parts = split(prepared, config.validation_fraction, seed)
     training, validation = parts.where("not is_validation"), parts.where("is_validation")
@@ -221,9 +221,9 @@ def train_reranker(
     candidate = ranking_metrics(ranked, "candidate_priority", shown)
     gates = cut(reranker_gates(active, candidate, enough))
     reason = (
-        "All feedback reranker gates passed."
+        "Every gate is open: the learnt ranking may be used."
         if gates.first()["promoted"]
-        else "The feedback reranker remains a candidate because one or more gates failed."
+        else "At least one gate is closed: the present ranking stays."
     )
     return Training(
         model, gates, active, candidate, training.count(), ranked.count(), reason

@@ -35,9 +35,12 @@ def read_raw_transactions(
     folder: str,
     fiscal_year: int | str,
     pattern: str = RAW_PARTS,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All parts of a year. Parts with the same header are one scan; others are unioned."""
+    """All parts of a year. Parts with the same header are one scan; others are unioned.
+
+    Large parts are split over tasks; texts with line breaks need ``multi_line``.
+    """
     nothing = f"No raw transaction files found for FY{fiscal_year}. Run acquisition first."
     path = f"{folder}/fy{fiscal_year}"
     try:

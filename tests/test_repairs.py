@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowproof.operators import contract, lof, neighbours, ordering, profile
+from rowproof.operators import lookup as lookups
 from rowproof.plans.queries import scratch
 from rowproof.session import cut
 from rowproof.sources import sinks, snapshots
@@ -101,3 +102,14 @@ def test_streams_refuse_invalid_records(spark):
     assert sorted(r.problems[0] for r in bad.collect()) == ["n", "n", "vendor_id"]
     with pytest.raises(ValueError, match="unknown fields"):
         streaming.validated(frame.withColumn("extra", F.lit(1)), "vendor", table, 2024)
+
+
+def test_keys_with_one_percent_each_are_split(spark):
+    portion = lookups.rows_per_task(10**11)
+    assert 10**9 / portion > 40  # one percent of 10^11 rows
+    assert lookups.rows_per_task(640) == 10 and lookups.rows_per_task(0) == 1
+    frame = spark.range(4000).select("id", F.when(F.col("id") % 10 < 7, F.col("id") % 10).alias("key"))
+    table = frame.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = lookups.lookup(frame, table, "key", weight="n", spread="id", broadcast_bytes=0)
+    assert out.count() == 4000 and out.where("key is not null and n <> 400").count() == 0
+    assert out.where("key is null and n is not null").count() == 0
