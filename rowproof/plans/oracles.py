@@ -1174,6 +1174,25 @@ SELECT target_table, record_id, issue_type, severity, severity_rank, evidence,
        CAST(NULL AS DOUBLE) AS model_confidence, finding_id, 'run-1' AS run_id
 FROM identified
 """
+SQL["run_ids"] = f"""
+WITH {FOUND}
+SELECT run_id, count(*) AS count, count(*) AS finding_count
+FROM findings, (SELECT unnest(['007', 'run-1']) AS run_id) GROUP BY run_id
+"""
+SQL["json_roundtrip"] = "SELECT n_nationkey, n_name FROM nation"
+SQL["snapshot_check"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(strlen(n_name) + 1 AS BIGINT) AS bytes,
+       sha256(n_name || chr(10)) AS sha256
+FROM nation
+"""
+SQL["integers_exact"] = "SELECT o_orderkey, CAST(9007199254740993 + o_orderkey AS BIGINT) AS n FROM orders"
+SQL["profile_floats"] = """
+SELECT 'discount' AS field, 'double' AS dtype, 'numeric' AS semantic_type,
+       count(*) FILTER (WHERE l_tax = 0) AS missing_count,
+       round(count(*) FILTER (WHERE l_tax = 0) / count(*) * 100, 3) AS missing_percent,
+       count(DISTINCT l_discount) FILTER (WHERE l_tax <> 0) AS unique_count
+FROM lineitem
+"""
 SQL["run_record"] = f"""
 WITH {FOUND}
 SELECT 'run-1' AS run_id, {FISCAL_YEAR} AS fiscal_year,

@@ -1023,6 +1023,55 @@ def run_findings(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.list_findings(spark, path, "run-1")
 
 
+@register
+def run_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs whose ids look like numbers or words live in one store and are told apart."""
+    path, runs = scratch(spark), ("007", "run-1")
+    for run in runs:
+        _save(spark, folder, path, run)
+    found = [sinks.list_findings(spark, path, run).groupBy("run_id").count() for run in runs]
+    both = found[0].unionByName(found[1])
+    records = [sinks.get_run(spark, path, run).select("run_id", "finding_count") for run in runs]
+    return both.join(records[0].unionByName(records[1]), "run_id")
+
+
+@register
+def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark)
+    nations = views.table(spark, folder, "nation").select("n_nationkey", "n_name")
+    sinks.write_json(nations, f"{path}/nations")
+    return spark.read.schema(nations.schema).json(f"{path}/nations")
+
+
+@register
+def snapshot_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of files with known content, one per nation."""
+    path = scratch(spark)
+    nations = views.table(spark, folder, "nation").select("n_nationkey", "n_name")
+    nations.coalesce(1).write.partitionBy("n_nationkey").text(f"{path}/nations")
+    found = snapshots.file_digests(spark, f"{path}/nations", "*.txt")
+    key = F.regexp_extract("file", "^n_nationkey=([0-9]+)/", 1).cast("long")
+    return found.select(key.alias("n_nationkey"), "bytes", "sha256")
+
+
+@register
+def integers_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers beyond the 53 bits of a double, read from text."""
+    orders = views.table(spark, folder, "orders")
+    large = F.lit(9007199254740993) + F.col("o_orderkey")
+    text = orders.select("o_orderkey", F.concat(F.lit(" "), large.cast("string")).alias("n"))
+    return text.select("o_orderkey", contract.coerced("n", "integer", T.StringType()).alias("n"))
+
+
+@register
+def profile_floats(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN counts as missing, and both zeros are one value."""
+    tax, discount = F.col("l_tax").cast("double"), F.col("l_discount").cast("double")
+    value = F.when(tax == 0, F.lit(float("nan"))).when((discount == 0) & (tax > 0.04), F.lit(-0.0))
+    lines = views.table(spark, folder, "lineitem").select(value.otherwise(discount).alias("discount"))
+    return profile.profile_table(lines)
+
+
 @register
 def run_record(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
