@@ -6,11 +6,15 @@ large group of near copies shares from weighing less than its edits. Improved co
 draws ``BANDS * ROWS`` samples per document; ``ROWS`` samples together are a band key. Documents that
 share a key are compared by their samples inside bounded groups, where each passes on its nearest few;
 these pairs are verified by exact weighted Jaccard similarity of whole texts, and classes are the connected
-components of the verified pairs.
+components of the verified pairs. A key whose texts then still belong to several components is searched
+again, in bounded blocks: all its texts outside its largest component against all its texts, for close pairs
+of different components that no round has verified. First each text passes on ``MORE`` pairs per block; keys
+where that cut something off are searched once more without a limit. So no link is lost to a limit, and
+pairs inside a component are never made.
 
-Equal texts are one text from the start, counted before any shuffle. A key that more than ``GROUP`` texts
-share is dealt into groups of about that size by a hash, and its ``ANCHORS`` best connected texts join each
-group, so a family of any size hangs together without one task that holds it.
+Equal texts are one text from the start, counted before any shuffle. In the first round a key that more than
+``GROUP`` texts share is dealt into groups of about that size by a hash, and its ``ANCHORS`` best connected
+texts join each group, so a family of any size hangs together without one task that holds it.
 
 Defined cases: null and empty texts, and texts without a word, are never near to anything: each row is a
 class of its own, unless its text equals another's exactly and has at least a word. A text of fewer than
@@ -38,8 +42,10 @@ WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 16
 SAMPLES = ROWS * BANDS
 GROUP, ANCHORS = 512, 8
-NEAREST = 8  # pairs each member of a group passes on
+NEAREST = 8  # pairs each member of a group passes on in the first round
+MORE = 8  # pairs each text outside the largest component of a key passes on per block in the second
 CLOSE = 0.6  # share of equal samples from which a pair is verified
+LEAST_EQUAL = int(np.ceil(CLOSE * SAMPLES))
 FREQUENCY_BITS = 18
 DAMPING = 0.05
 _BLOCK = 1 << 19
@@ -154,15 +160,18 @@ def signatures(texts: DataFrame, rarity) -> DataFrame:
     )
 
 
-def nearest_pairs(signed: DataFrame, group: int = GROUP) -> DataFrame:
-    """Pairs (a, b) of digests, a < b, that share a band key and enough samples."""
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(key, d, n) of every band key that n > 1 texts share, as a written table."""
     bands = cut(signed.select("d", F.explode("keys").alias("key")))
-    shared = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = bands.join(shared, "key")
-    hot = shared.where(F.col("n") > group)
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut(bands.join(shared, "key"))
+
+
+def nearest_pairs(signed: DataFrame, members: DataFrame, group: int = GROUP, nearest: int = NEAREST) -> DataFrame:
+    """Pairs (a, b) of digests, a < b, that share a band key and enough samples: the first round."""
     parts = F.ceil(F.col("n") / group)
     dealt = members.withColumn("part", F.pmod(F.xxhash64("d", "key"), parts))
-    if not hot.isEmpty():
+    if not members.where(F.col("n") > group).isEmpty():
         # texts that share most with others; each group of a hot key gets the best of them
         reach = members.groupBy("d").agg(F.sum("n").alias("reach"))
         some = members.where(F.col("n") > group).join(reach, "d")
@@ -191,7 +200,7 @@ def nearest_pairs(signed: DataFrame, group: int = GROUP) -> DataFrame:
                 part = content.slice(low, high - low)
                 begin = np.frombuffer(part.buffers()[1], np.int32)[part.offset]
                 table = np.frombuffer(part.buffers()[2], "<u2")[begin // 2 :][: (high - low) * SAMPLES]
-                a, b = _nearest(table.reshape(high - low, SAMPLES))
+                a, b = _nearest(table.reshape(high - low, SAMPLES), nearest)
                 one.append(a + low)
                 other.append(b + low)
             if one:
@@ -205,26 +214,133 @@ def nearest_pairs(signed: DataFrame, group: int = GROUP) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _nearest(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _equal_samples(part: np.ndarray, table: np.ndarray) -> np.ndarray:
+    equal = np.zeros((len(part), len(table)), dtype=np.uint8)
+    for sample in range(SAMPLES):
+        equal += part[:, sample, None] == table[None, :, sample]
+    return equal
+
+
+def _nearest(table: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
     """For every row of a bounded group its nearest others with enough equal samples, as index pairs."""
     size = len(table)
-    least, step = int(np.ceil(CLOSE * SAMPLES)), max(1, (1 << 22) // size)
+    step = max(1, (1 << 22) // size)
     one, other = [], []
     for start in range(0, size, step):
         part = table[start : start + step]
-        equal = np.zeros((len(part), size), dtype=np.uint8)
-        for sample in range(SAMPLES):
-            equal += part[:, sample, None] == table[None, :, sample]
+        equal = _equal_samples(part, table)
         equal[np.arange(len(part)), np.arange(start, start + len(part))] = 0
-        for _ in range(min(NEAREST, size - 1)):
+        for _ in range(min(nearest, size - 1)):
             best = equal.argmax(axis=1)
-            enough = np.flatnonzero(equal[np.arange(len(part)), best] >= least)
+            enough = np.flatnonzero(equal[np.arange(len(part)), best] >= LEAST_EQUAL)
             one.append(enough + start)
             other.append(best[enough])
             equal[np.arange(len(part)), best] = 0
     return np.concatenate(one), np.concatenate(other)
 
 
+def open_members(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, d, n, root, top, outside) of the keys whose texts are in several components.
+
+    ``top`` is the component with most texts of the key, ``outside`` counts the texts not in it.
+    """
+    own = cut(members.join(placed, "d"))
+    each = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = each.groupBy("key").agg(
+        F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size")
+    )
+    several = largest.where("roots > 1").select(
+        "key", F.col("top.root").alias("top"), (F.col("size") - F.col("top.c")).alias("outside"), "size"
+    )
+    found = lookup(own, several, "key", weight="size", spread="d").where(F.col("top").isNotNull())
+    return found.select("key", "d", "n", "root", "top", "outside")
+
+
+def crossing_pairs(signed: DataFrame, searched: DataFrame, group: int = GROUP, most: int | None = MORE) -> DataFrame:
+    """(a, b, key, more) of close texts of one key in different components.
+
+    Every (block of outside texts, block of all texts) of a key is one task of bounded size. A pair belongs
+    to the first key its texts share, so several shared keys make it once. A text passes on its ``most``
+    nearest of the block, and ``more`` tells that it has further ones; None: all.
+    """
+    full = searched.join(signed.select("d", "signature", "keys"), "d")
+    rows, columns = F.ceil(F.col("outside") / group), F.ceil(F.col("n") / group)
+    mine, theirs = F.pmod(F.xxhash64("d", "key"), rows), F.pmod(F.xxhash64("d", "key"), columns)
+    names = ["key", "row", "column", "d", "root", "signature", "keys"]
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    outside = full.where(F.col("root") != F.col("top")).withColumn("row", mine).withColumn("column", every(columns))
+    whole = full.withColumn("column", theirs).withColumn("row", every(rows))
+    # own attributes for this side: both come from one table
+    whole = whole.select(*[F.col(name).alias(f"{name}_") for name in names])
+    digest = "struct<x:long,y:long>"
+
+    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = []
+        for side in (left, right):
+            content = b"".join(side.column(5).to_pylist())
+            roots = side.column(4).combine_chunks()
+            sides.append((
+                np.frombuffer(content, "<u2").reshape(-1, SAMPLES),
+                np.stack([roots.field(0).to_numpy(), roots.field(1).to_numpy()]),
+                side.column(3).combine_chunks(),
+                side.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS),
+            ))
+        (table, own, d, bands), (others, root, e, their) = sides
+        key = (left if len(left) else right).column(0)[0].as_py()
+        one, other, cut_off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        step = max(1, (1 << 22) // max(len(others), 1))
+        for start in range(0, len(table) if len(others) else 0, step):
+            part = slice(start, start + step)
+            equal = _equal_samples(table[part], others)
+            equal[(own[:, part, None] == root[:, None, :]).all(axis=0)] = 0
+            for place in np.flatnonzero((equal >= LEAST_EQUAL).any(axis=1)):
+                close = np.flatnonzero(equal[place] >= LEAST_EQUAL)
+                mine = bands[start + place]
+                close = close[mine[(their[close] == mine).argmax(axis=1)] == key]
+                best = close[np.argsort(-equal[place, close].astype(np.int16), kind="stable")[:most]]
+                one.append(np.full(len(best), start + place))
+                other.append(best)
+                cut_off.append(np.full(len(best), len(close) > len(best)))
+        a, b = pa.array(np.concatenate(one)), pa.array(np.concatenate(other))
+        return pa.table({
+            "a": d.take(a), "b": e.take(b),
+            "key": pa.array(np.full(len(a), key)), "more": pa.array(np.concatenate(cut_off)),
+        })
+
+    found = (
+        outside.select(*names).groupBy(*names[:3]).cogroup(whole.groupBy(*whole.columns[:3]))
+        .applyInArrow(cross, f"a {digest}, b {digest}, key long, more boolean")
+    )
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
+
+
+def linked_texts(
+    signed: DataFrame, texts: DataFrame, rarity, group: int = GROUP, nearest: int = NEAREST, more: int = MORE
+) -> DataFrame:
+    """(v, root) of every text that shares a band key: its component of verified pairs."""
+    members = shared_bands(signed)
+    tested = cut(nearest_pairs(signed, members, group, nearest))
+    linked = components(cut(verify(tested, texts, rarity))).withColumnRenamed("v", "d")
+    placed = cut(members.select("d").distinct().join(linked, "d", "left").withColumn("root", F.coalesce("root", "d")))
+    # groups of up to nearest + 1 texts have passed on all their pairs already
+    unfinished = members.where((F.col("n") > nearest + 1) | (F.col("n") > group))
+    for most in (more, None):
+        searched = cut(open_members(unfinished, placed))
+        if searched.isEmpty():
+            break
+        found = cut(crossing_pairs(signed, searched, group, most))
+        fresh = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        good = verify(fresh, texts, rarity)
+        root = placed.select(F.col("d").alias("a"), F.col("root").alias("ra"))
+        other = placed.select(F.col("d").alias("b"), F.col("root").alias("rb"))
+        joined = good.join(root, "a").join(other, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moved = components(joined.distinct()).select(F.col("v").alias("root"), F.col("root").alias("to"))
+        placed = cut(placed.join(moved, "root", "left").select("d", F.coalesce("to", "root").alias("root")))
+        tested = tested.unionByName(fresh)
+        unfinished = unfinished.join(found.where("more").select("key").distinct(), "key", "left_semi")
+    return placed.withColumnRenamed("d", "v")
+
+
 def similarities(left: pa.Array, right: pa.Array, rarity: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of two columns of texts, row by row."""
     sides = []
@@ -306,7 +422,7 @@ def text_classes(documents: DataFrame, id_column: str = "doc_id", text: str = "t
         signatures(rows, rarity).groupBy("d").agg(F.first("keys").alias("keys"), F.first("signature").alias("signature"))
     )
     counted = cut(rows.groupBy("d").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
-    linked = components(cut(verify(cut(nearest_pairs(signed)), rows, rarity)))
+    linked = linked_texts(signed, rows, rarity)
     known = counted.join(signed.select("d"), "d", "left_semi").join(
         linked.withColumnRenamed("v", "d"), "d", "left"
     ).withColumn("root", F.coalesce("root", "d"))

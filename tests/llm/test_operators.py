@@ -445,10 +445,58 @@ def test_hot_keys_stay_connected(spark):
     signed = spark.createDataFrame(data, "doc_id long, text string")
     rows_ = neardups._digests(signed, "doc_id", "text")
     rarity = spark.sparkContext.broadcast(neardups.rarities(rows_))
-    pairs = neardups.nearest_pairs(neardups.signatures(rows_, rarity), group=8)
+    signed = neardups.signatures(rows_, rarity)
+    pairs = neardups.nearest_pairs(signed, neardups.shared_bands(signed), group=8)
     assert neardups.components(pairs).select("root").distinct().count() == 1
 
 
+def test_no_link_is_lost_to_limits(spark):
+    """Classes with tiny groups and limits are those of all close pairs of the same band keys."""
+    pick = random.Random(5)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{n}" for n in range(200)]
+        for copy in range(50):
+            text = list(base)
+            for place in pick.sample(range(200), pick.choice([1, 2, 3, 4, 5, 6, 8])):
+                text[place] = f"edit{family}x{copy}x{place}"
+            texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows_ = neardups._digests(docs, "doc_id", "text")
+    rarity = spark.sparkContext.broadcast(neardups.rarities(rows_))
+    signed = neardups.signatures(rows_, rarity)
+    places = {(r.d.x, r.d.y): r._id for r in rows_.collect()}
+    keys, drawn = {}, {}
+    for r in signed.collect():
+        at = places[(r.d.x, r.d.y)]
+        keys[at], drawn[at] = set(r.keys), np.frombuffer(r.signature, "<u2")
+    pairs = [
+        (a, b) for a in keys for b in keys
+        if a < b and keys[a] & keys[b] and (drawn[a] == drawn[b]).sum() >= neardups.LEAST_EQUAL
+    ]
+    near = neardups.similarities(pa.array([texts[a] for a, _ in pairs]), pa.array([texts[b] for _, b in pairs]), rarity.value)
+    root = {at: at for at in keys}
+
+    def find(at):
+        while root[at] != at:
+            at = root[at]
+        return at
+
+    for (a, b), value in zip(pairs, near):
+        if value >= neardups.SIMILAR:
+            one, other = sorted((find(a), find(b)))
+            root[other] = one
+    expected = sorted(find(at) for at in keys)
+    assert 3 <= len(set(expected)) < len(texts)
+    for limits in ({"group": 8, "nearest": 1, "more": 1}, {"group": 16, "nearest": 2, "more": 3}, {}):
+        classes = neardups.linked_texts(signed, rows_, rarity, **limits).collect()
+        names = {}
+        for r in classes:
+            names.setdefault((r.root.x, r.root.y), []).append(places[(r.v.x, r.v.y)])
+        found = {at: min(group) for group in names.values() for at in group}
+        assert sorted(found.get(at, at) for at in keys) == expected
+
+
 # secrets --------------------------------------------------------------------------------------
 
 
