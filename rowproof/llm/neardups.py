@@ -7,10 +7,11 @@ draws ``BANDS * ROWS`` samples per document; ``ROWS`` samples together are a ban
 share a key are compared by their samples inside bounded groups, where each passes on its nearest few;
 these pairs are verified by exact weighted Jaccard similarity of whole texts, and classes are the connected
 components of the verified pairs. A key whose texts then still belong to several components is searched
-again, in bounded blocks: all its texts outside its largest component against all its texts, for close pairs
-of different components that no round has verified. First each text passes on ``MORE`` pairs per block; keys
-where that cut something off are searched once more without a limit. So no link is lost to a limit, and
-pairs inside a component are never made.
+again, in blocks bounded by texts and shingles: all its texts outside its largest component against all its
+texts. The samples choose the close pairs of different components, the shingle sets verify them where they
+are, and a block returns only links that connect components not yet connected in it: fewer than it has
+components. So no link is lost to a limit, no pair inside a component is looked at twice, and what moves
+grows with the texts and not with their pairs.
 
 Equal texts are one text from the start, counted before any shuffle. In the first round a key that more than
 ``GROUP`` texts share is dealt into groups of about that size by a hash, and its ``ANCHORS`` best connected
@@ -43,12 +44,13 @@ ROWS, BANDS = 5, 16
 SAMPLES = ROWS * BANDS
 GROUP, ANCHORS = 512, 8
 NEAREST = 8  # pairs each member of a group passes on in the first round
-MORE = 8  # pairs each text outside the largest component of a key passes on per block in the second
+GROUP_SHINGLES = 1 << 18  # shingles of one side of a block in the second
 CLOSE = 0.6  # share of equal samples from which a pair is verified
 LEAST_EQUAL = int(np.ceil(CLOSE * SAMPLES))
 FREQUENCY_BITS = 18
 DAMPING = 0.05
 _BLOCK = 1 << 19
+_SHINGLE = np.dtype([("hash", "<u8"), ("count", "<u4")])
 
 
 @cache
@@ -129,14 +131,14 @@ def rarities(texts: DataFrame, column: str = "_text") -> np.ndarray:
 
 
 def signatures(texts: DataFrame, rarity) -> DataFrame:
-    """(d, keys array<long>, signature binary) per row of (d, _text) that has a shingle."""
+    """(d, many, keys array<long>, signature binary) per row of (d, _text) that has ``many`` > 0 shingles."""
     odd = np.uint64(0xD6E8FEB86659FD93)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, words in word_blocks(batch.column("_text"), _BLOCK, SHINGLE_ROWS):
                 rows, hashes, count = shingles(words, WORDS)
-                filled, first = np.unique(rows, return_index=True)
+                filled, first, many = np.unique(rows, return_index=True, return_counts=True)
                 if not len(filled):
                     continue
                 drawn = samples(hashes, _weights(hashes, count, rarity.value), first)
@@ -153,22 +155,25 @@ def signatures(texts: DataFrame, rarity) -> DataFrame:
                     pa.array(width * BANDS), pa.array(keys.T.reshape(-1).view(np.int64))
                 )
                 part = batch.column("d").take(pa.array(filled + start))
-                yield pa.RecordBatch.from_arrays([part, lists, content], ["d", "keys", "signature"])
+                yield pa.RecordBatch.from_arrays(
+                    [part, pa.array(many.astype(np.int64)), lists, content], ["d", "many", "keys", "signature"]
+                )
 
     return texts.select("d", "_text").mapInArrow(
-        sign, "d struct<x:long,y:long>, keys array<long>, signature binary"
+        sign, "d struct<x:long,y:long>, many long, keys array<long>, signature binary"
     )
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """(key, d, n) of every band key that n > 1 texts share, as a written table."""
-    bands = cut(signed.select("d", F.explode("keys").alias("key")))
+    """(key, d, many, n) of every band key that n > 1 texts share, as a written table."""
+    bands = cut(signed.select("d", "many", F.explode("keys").alias("key")))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return cut(bands.join(shared, "key"))
 
 
 def nearest_pairs(signed: DataFrame, members: DataFrame, group: int = GROUP, nearest: int = NEAREST) -> DataFrame:
     """Pairs (a, b) of digests, a < b, that share a band key and enough samples: the first round."""
+    members = members.drop("many")
     parts = F.ceil(F.col("n") / group)
     dealt = members.withColumn("part", F.pmod(F.xxhash64("d", "key"), parts))
     if not members.where(F.col("n") > group).isEmpty():
@@ -239,83 +244,154 @@ def _nearest(table: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(one), np.concatenate(other)
 
 
-def open_members(members: DataFrame, placed: DataFrame) -> DataFrame:
-    """(key, d, n, root, top, outside) of the keys whose texts are in several components.
+def open_members(members: DataFrame, placed: DataFrame, group: int = GROUP) -> DataFrame:
+    """(key, d, root, top, rows, columns) of the keys whose texts are in several components.
 
-    ``top`` is the component with most texts of the key, ``outside`` counts the texts not in it.
+    ``top`` is the component with most texts of the key; the texts outside it fill ``rows`` blocks, all
+    its texts ``columns`` blocks of about ``group`` texts and ``GROUP_SHINGLES`` shingles at most.
     """
     own = cut(members.join(placed, "d"))
-    each = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    each = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("many").alias("m"))
     largest = each.groupBy("key").agg(
-        F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size")
+        F.max(F.struct("c", "root", "m")).alias("top"),
+        F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"), F.sum("m").alias("m"),
     )
+
+    def blocks(texts: Column, shingled: Column) -> Column:
+        return F.greatest(F.ceil(texts / group), F.ceil(shingled / GROUP_SHINGLES))
+
     several = largest.where("roots > 1").select(
-        "key", F.col("top.root").alias("top"), (F.col("size") - F.col("top.c")).alias("outside"), "size"
+        "key", F.col("top.root").alias("top"), "size",
+        blocks(F.col("size") - F.col("top.c"), F.col("m") - F.col("top.m")).alias("rows"),
+        blocks(F.col("size"), F.col("m")).alias("columns"),
     )
     found = lookup(own, several, "key", weight="size", spread="d").where(F.col("top").isNotNull())
-    return found.select("key", "d", "n", "root", "top", "outside")
+    return found.select("key", "d", "root", "top", "rows", "columns")
+
 
+def text_per_digest(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(d, _text) of the digests in ``ends``, each once."""
+    return texts.join(broadcast_if_small(ends, 40), "d").groupBy("d").agg(F.first("_text").alias("_text"))
 
-def crossing_pairs(signed: DataFrame, searched: DataFrame, group: int = GROUP, most: int | None = MORE) -> DataFrame:
-    """(a, b, key, more) of close texts of one key in different components.
 
-    Every (block of outside texts, block of all texts) of a key is one task of bounded size. A pair belongs
-    to the first key its texts share, so several shared keys make it once. A text passes on its ``most``
-    nearest of the block, and ``more`` tells that it has further ones; None: all.
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(d, shingles) of rows of (d, _text): hash and count of every distinct shingle, by hash."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, words in word_blocks(batch.column("_text"), _BLOCK, SHINGLE_ROWS):
+                rows, hashes, count = shingles(words, WORDS)
+                packed = np.empty(len(hashes), _SHINGLE)
+                packed["hash"], packed["count"] = hashes, count
+                first = np.searchsorted(rows, np.arange(end - start + 1)) * _SHINGLE.itemsize
+                content = pa.Array.from_buffers(
+                    pa.binary(), end - start, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(packed)]
+                )
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(start, end - start), content], ["d", "shingles"])
+
+    return texts.select("d", "_text").mapInArrow(sets, "d struct<x:long,y:long>, shingles binary")
+
+
+class _Side:
+    """One side of a block: samples, roots, band keys and weighted shingles of its texts."""
+
+    def __init__(self, side: pa.Table, rarity: np.ndarray) -> None:
+        roots = side.column("root").combine_chunks()
+        self.root = np.stack([roots.field("x").to_numpy(), roots.field("y").to_numpy()], axis=1)
+        self.table = np.frombuffer(b"".join(side.column("signature").to_pylist()), "<u2").reshape(-1, SAMPLES)
+        self.bands = side.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        contents = side.column("shingles").to_pylist()
+        self.first = np.cumsum([0, *map(len, contents)]) // _SHINGLE.itemsize
+        packed = np.frombuffer(b"".join(contents), _SHINGLE)
+        self.hash = packed["hash"].astype(np.uint64)
+        self.weight = _weights(self.hash, packed["count"], rarity)
+
+    def similarities(self, other: _Side, place: int, rows: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of the text at ``place`` of ``other`` with the texts at ``rows``."""
+        own = slice(other.first[place], other.first[place + 1])
+        hashes, weight = other.hash[own], other.weight[own]
+        counts = self.first[rows + 1] - self.first[rows]
+        at = np.arange(counts.sum()) + np.repeat(self.first[rows] - np.cumsum(counts) + counts, counts)
+        row = np.repeat(np.arange(len(rows)), counts)
+        found = np.minimum(np.searchsorted(hashes, self.hash[at]), len(hashes) - 1)
+        same = hashes[found] == self.hash[at]
+        lesser = np.minimum(weight[found], self.weight[at])[same]
+        common = np.bincount(row[same], weights=lesser, minlength=len(rows))
+        total = weight.sum() + np.bincount(row, weights=self.weight[at], minlength=len(rows))
+        return common / np.maximum(total - common, 1e-12)
+
+
+def _links(left: _Side, right: _Side, key: int, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Roots (one, other) that similar texts of the two sides connect, fewer than there are roots.
+
+    A pair belongs to the first key that its texts share, so several shared keys look at it once.
     """
-    full = searched.join(signed.select("d", "signature", "keys"), "d")
-    rows, columns = F.ceil(F.col("outside") / group), F.ceil(F.col("n") / group)
-    mine, theirs = F.pmod(F.xxhash64("d", "key"), rows), F.pmod(F.xxhash64("d", "key"), columns)
-    names = ["key", "row", "column", "d", "root", "signature", "keys"]
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-    outside = full.where(F.col("root") != F.col("top")).withColumn("row", mine).withColumn("column", every(columns))
-    whole = full.withColumn("column", theirs).withColumn("row", every(rows))
+    roots, node = np.unique(np.concatenate([left.root, right.root]), axis=0, return_inverse=True)
+    own, their = np.split(node.reshape(-1), [len(left.root)])
+    label = np.arange(len(roots))
+    one, other = [], []
+    step = max(1, (1 << 22) // len(their))
+    for start in range(0, len(own), step):
+        equal = _equal_samples(left.table[start : start + step], right.table)
+        for part in np.flatnonzero((equal >= LEAST_EQUAL).any(axis=1)):
+            place = start + part
+            close = np.flatnonzero(equal[part] >= LEAST_EQUAL)
+            mine = left.bands[place]
+            close = close[mine[(right.bands[close] == mine).argmax(axis=1)] == key]
+            close = close[np.argsort(-equal[part, close].astype(np.int16), kind="stable")]
+            several = NEAREST
+            # the nearest first: whoever joins their component need not be compared with its other texts
+            while len(close := close[label[their[close]] != label[own[place]]]):
+                near, close = close[:several], close[several:]
+                several = min(8 * several, GROUP)
+                for row in near[right.similarities(left, place, near) >= least]:
+                    if label[their[row]] != label[own[place]]:
+                        label[label == label[their[row]]] = label[own[place]]
+                        one.append(own[place])
+                        other.append(their[row])
+    return roots[np.array(one, np.int64)], roots[np.array(other, np.int64)]
+
+
+def crossing_links(signed: DataFrame, texts: DataFrame, rarity, searched: DataFrame) -> DataFrame:
+    """(a, b) roots of different components that a verified pair of texts of one key connects.
+
+    Every (block of outside texts, block of all texts) of a key is one task of bounded size.
+    """
+    sets = shingle_sets(text_per_digest(texts, searched.select("d").distinct()))
+    full = cut(searched.join(signed.select("d", "signature", "keys"), "d").join(sets, "d"))
+    names = ["key", "row", "column", "root", "signature", "keys", "shingles"]
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("d", "key"), F.col(count))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    outside = full.where(F.col("root") != F.col("top")).withColumn("row", own("rows")).withColumn("column", every("columns"))
     # own attributes for this side: both come from one table
+    whole = full.withColumn("column", own("columns")).withColumn("row", every("rows"))
     whole = whole.select(*[F.col(name).alias(f"{name}_") for name in names])
-    digest = "struct<x:long,y:long>"
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = []
-        for side in (left, right):
-            content = b"".join(side.column(5).to_pylist())
-            roots = side.column(4).combine_chunks()
-            sides.append((
-                np.frombuffer(content, "<u2").reshape(-1, SAMPLES),
-                np.stack([roots.field(0).to_numpy(), roots.field(1).to_numpy()]),
-                side.column(3).combine_chunks(),
-                side.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS),
-            ))
-        (table, own, d, bands), (others, root, e, their) = sides
-        key = (left if len(left) else right).column(0)[0].as_py()
-        one, other, cut_off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        step = max(1, (1 << 22) // max(len(others), 1))
-        for start in range(0, len(table) if len(others) else 0, step):
-            part = slice(start, start + step)
-            equal = _equal_samples(table[part], others)
-            equal[(own[:, part, None] == root[:, None, :]).all(axis=0)] = 0
-            for place in np.flatnonzero((equal >= LEAST_EQUAL).any(axis=1)):
-                close = np.flatnonzero(equal[place] >= LEAST_EQUAL)
-                mine = bands[start + place]
-                close = close[mine[(their[close] == mine).argmax(axis=1)] == key]
-                best = close[np.argsort(-equal[place, close].astype(np.int16), kind="stable")[:most]]
-                one.append(np.full(len(best), start + place))
-                other.append(best)
-                cut_off.append(np.full(len(best), len(close) > len(best)))
-        a, b = pa.array(np.concatenate(one)), pa.array(np.concatenate(other))
+        ends = [np.zeros((0, 2), np.int64)] * 2
+        if len(left) and len(right):
+            key = left.column("key")[0].as_py()
+            right = right.rename_columns(names)
+            ends = _links(_Side(left, rarity.value), _Side(right, rarity.value), key)
         return pa.table({
-            "a": d.take(a), "b": e.take(b),
-            "key": pa.array(np.full(len(a), key)), "more": pa.array(np.concatenate(cut_off)),
+            name: pa.StructArray.from_arrays([pa.array(end[:, 0]), pa.array(end[:, 1])], ["x", "y"])
+            for name, end in zip("ab", ends)
         })
 
-    found = (
+    digest = "struct<x:long,y:long>"
+    return (
         outside.select(*names).groupBy(*names[:3]).cogroup(whole.groupBy(*whole.columns[:3]))
-        .applyInArrow(cross, f"a {digest}, b {digest}, key long, more boolean")
+        .applyInArrow(cross, f"a {digest}, b {digest}")
     )
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
 
 
 def linked_texts(
-    signed: DataFrame, texts: DataFrame, rarity, group: int = GROUP, nearest: int = NEAREST, more: int = MORE
+    signed: DataFrame, texts: DataFrame, rarity, group: int = GROUP, nearest: int = NEAREST
 ) -> DataFrame:
     """(v, root) of every text that shares a band key: its component of verified pairs."""
     members = shared_bands(signed)
@@ -324,20 +400,11 @@ def linked_texts(
     placed = cut(members.select("d").distinct().join(linked, "d", "left").withColumn("root", F.coalesce("root", "d")))
     # groups of up to nearest + 1 texts have passed on all their pairs already
     unfinished = members.where((F.col("n") > nearest + 1) | (F.col("n") > group))
-    for most in (more, None):
-        searched = cut(open_members(unfinished, placed))
-        if searched.isEmpty():
-            break
-        found = cut(crossing_pairs(signed, searched, group, most))
-        fresh = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        good = verify(fresh, texts, rarity)
-        root = placed.select(F.col("d").alias("a"), F.col("root").alias("ra"))
-        other = placed.select(F.col("d").alias("b"), F.col("root").alias("rb"))
-        joined = good.join(root, "a").join(other, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        moved = components(joined.distinct()).select(F.col("v").alias("root"), F.col("root").alias("to"))
-        placed = cut(placed.join(moved, "root", "left").select("d", F.coalesce("to", "root").alias("root")))
-        tested = tested.unionByName(fresh)
-        unfinished = unfinished.join(found.where("more").select("key").distinct(), "key", "left_semi")
+    searched = cut(open_members(unfinished, placed, group))
+    if not searched.isEmpty():
+        links = cut(crossing_links(signed, texts, rarity, searched).distinct())
+        moved = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
+        placed = placed.join(broadcast_if_small(moved, 40), "root", "left").select("d", F.coalesce("to", "root").alias("root"))
     return placed.withColumnRenamed("d", "v")
 
 
@@ -364,8 +431,7 @@ def similarities(left: pa.Array, right: pa.Array, rarity: np.ndarray) -> np.ndar
 def verify(pairs: DataFrame, texts: DataFrame, rarity, least: float = SIMILAR) -> DataFrame:
     """The pairs whose texts reach ``least``; ``texts`` has (d, _text)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    chosen = texts.join(broadcast_if_small(ends, 40), "d").groupBy("d").agg(F.first("_text").alias("_text"))
-    chosen = cut(chosen)
+    chosen = cut(text_per_digest(texts, ends))
     both = pairs.join(chosen.select(F.col("d").alias("a"), F.col("_text").alias("_one")), "a").join(
         chosen.select(F.col("d").alias("b"), F.col("_text").alias("_other")), "b"
     )
@@ -419,7 +485,7 @@ def text_classes(documents: DataFrame, id_column: str = "doc_id", text: str = "t
     rarity = spark.sparkContext.broadcast(rarities(rows))
     # copies are signed where they stand and become one row before they move
     signed = cut(
-        signatures(rows, rarity).groupBy("d").agg(F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+        signatures(rows, rarity).groupBy("d").agg(*[F.first(name).alias(name) for name in ("many", "keys", "signature")])
     )
     counted = cut(rows.groupBy("d").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
     linked = linked_texts(signed, rows, rarity)
