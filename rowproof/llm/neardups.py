@@ -10,8 +10,9 @@ components of the verified pairs. A key whose texts then still belong to several
 again, in blocks bounded by texts and shingles: all its texts outside its largest component against all its
 texts. The samples choose the close pairs of different components, the shingle sets verify them where they
 are, and a block returns only links that connect components not yet connected in it: fewer than it has
-components. So no link is lost to a limit, no pair inside a component is looked at twice, and what moves
-grows with the texts and not with their pairs.
+components. So no link is lost to a limit and pairs inside a component are not verified. Samples are still
+compared for all texts outside times all texts of such a key, and a text goes into one block per block of
+the other side; only what leaves the blocks is bounded by the components.
 
 Equal texts are one text from the start, counted before any shuffle. In the first round a key that more than
 ``GROUP`` texts share is dealt into groups of about that size by a hash, and its ``ANCHORS`` best connected
