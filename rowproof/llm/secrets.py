@@ -35,12 +35,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-CONTEXT = (
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"""
-    r"""|auth|credentials?|bearer)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{6,})"""
-)
-# What any match of the patterns above contains; RE2 scans for it.
-TRIGGER = r"(?i:pass|pwd|secret|token|api_?-?key|access[_-]key|private[_-]key|auth|credential|bearer)|AKIA[A-Z0-9]|[0-9a-f]{24}"
+# Names of a credential context; those of ASSIGN are among them.
+NAMES = (
+    r"pass(?:word|wd|phrase|code)?", "pwd", "secret", "token", r"api[_-]?key", r"access[_-]?key",
+    r"private[_-]?key", "auth", r"credentials?", "bearer",
+)
+CONTEXT = rf"""(?:{"|".join(NAMES)})["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{{6,}})"""
+# What any match of the patterns above contains, built from the same names; RE2 scans for it.
+TRIGGER = rf"(?i:{'|'.join(NAMES)})|AKIA[A-Z0-9]|[0-9a-f]{{{LEAST_HEX}}}"
 LEAST_GUESSES = 10.0
 WIDEST = 64
 

@@ -544,6 +544,15 @@ def test_secret_base_spans_equal_definition(spark, odd, none):
     assert secrets.scan_secrets(none).count() == 0 and secrets.mask_secrets(none).count() == 0
 
 
+def test_secret_prefilter_lets_every_context_name_through():
+    names = ["pass", "password", "passWd", "passphrase", "passCode", "pwd", "secret", "token", "auth", "credential", "credentials", "bearer"]
+    names += [a + b + "Key" for a in ("api", "access", "private") for b in ("", "_", "-")]
+    texts = [f"{name}{mark}zK39xQw7Lp2m" for name in names for mark in (": ", "=")]
+    found = dict(secrets._candidates(pa.array(texts)))
+    assert found == {row: secrets.find_secrets(text) for row, text in enumerate(texts)}
+    assert all(spans[-1][2] == "guess" for spans in found.values())
+
+
 def test_guess_cost_orders_values():
     assert secrets.guess_cost("password") < secrets.guess_cost("p4ssword") < secrets.guess_cost("password1987") < 10
     assert secrets.guess_cost("qwertyuiop") < 6 and secrets.guess_cost("aaaaaaaaaaaa") < 6 and secrets.guess_cost("abcabcabcabc") < 9
