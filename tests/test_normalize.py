@@ -140,6 +140,22 @@ def test_raw_parts_to_prepared_tables_and_manifest(spark, tmp_path):
         extracts.read_raw_transactions(spark, str(raw), 2031)
 
 
+def test_raw_parts_keep_records_with_quoted_line_breaks(spark, tmp_path):
+    folder, header = tmp_path / "fy2024", "key,name,note"
+    write_part(folder, "1_PrimeTransactions.csv", [header, 'a,"x, ""y""",1', 'b,"",2', 'c,"""q""","3"'])
+    write_part(folder, "2_PrimeTransactions.csv", [header, 'd,"first\nsecond, ""third""\n",4', "e,plain,5"])
+    # an even number of quotes on both lines of the record
+    write_part(folder, "3_PrimeTransactions.csv", [header, 'f"g,"one\ntwo",h"i'])
+    # the same with another header
+    write_part(folder, "4_PrimeTransactions.csv", ["key,more", 'j,"\n"'])
+    frame = extracts.read_raw_transactions(spark, str(tmp_path), 2024)
+    assert sorted(tuple(row) for row in frame.select("key", "name", "note", "more").collect()) == [
+        ("a", 'x, "y"', "1", None), ("b", None, "2", None), ("c", '"q"', "3", None),
+        ("d", 'first\nsecond, "third"\n', "4", None), ("e", "plain", "5", None),
+        ('f"g', "one\ntwo", 'h"i', None), ("j", None, None, "\n"),
+    ]
+
+
 def test_null_keys_count_as_duplicates_in_the_manifest_only(spark):
     vendors = spark.createDataFrame([("v",)], "vendor_id string")
     rows = [(None, "v"), (None, None), ("k", "w")]
