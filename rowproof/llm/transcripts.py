@@ -4,11 +4,13 @@ A hidden state is a role and whether the line begins a turn. A line shows a spea
 follows an empty line, ends with a question mark, is short, is the first. Start, transition and
 emission probabilities are counted (add-one) over all training conversations on the executors; the tables have
 a fixed size. Viterbi decoding finds the likeliest states, and each turn is rendered as
-``<|role|>`` + text. A conversation is decoded in windows of ``WINDOW`` turns with ``OVERLAP`` turns of
-context at both sides; up to ``WINDOW`` turns that is plain Viterbi, and a longer one never is one task.
+``<|role|>`` + text. The rows of a conversation are numbered by (turn, role, text), and it is decoded in windows of
+``WINDOW`` rows with ``OVERLAP`` rows of context at both sides; up to ``WINDOW`` rows that is plain Viterbi, and a
+longer one never is one task, whatever its turns are.
 
-Defined cases: null text is empty; a null turn counts as 0; an unknown or null role trains nothing and is
-rendered without a marker; rows equal in all four columns are one; without training rows all
+Defined cases: null text is empty; a null turn counts as 0; a row without an id is a conversation of its own; rows
+tied in turn, role and the first ``PREFIX`` characters follow a hash of the text; an unknown or null role trains
+nothing and is rendered without a marker; rows equal in all four columns are one; without training rows all
 probabilities are equal and ties go to the first state; an empty table gives an empty result.
 """
 
@@ -25,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.operators.lookup import lookup
+from rowproof.operators.ordering import number_rows
+
 ROLES = ("user", "assistant", "system")
 STATES = tuple((role, begins) for role in ROLES for begins in (True, False))
 WINDOW, OVERLAP = 1024, 16
+PREFIX = 256  # characters of a text in the order of rows: the sample that deals out ranges stays small
 SHORT = 40
 # Speaker names as transcripts write them.
 NAMES = {
@@ -41,10 +47,10 @@ FEATURES = ("marker", "after_empty", "question", "short", "first")
 
 
 def transcript(conversation: object, turns: Sequence[tuple]) -> list[tuple[str, str | None, bool, int]]:
-    """Lines as (text, true role, begins, turn) of (turn, role, text): most turns with a speaker name, in several
-    styles; every third, by a hash of its place, without one."""
+    """Lines as (text, true role, begins, index in ``turns``) of (turn, role, text): most turns with a speaker name, in
+    several styles; every third, by a hash of its turn, without one."""
     lines = []
-    for turn, role, text in turns:
+    for index, (turn, role, text) in enumerate(turns):
         choice = zlib.crc32(f"{conversation}:{turn}".encode())
         names = NAMES.get(role)
         head = ""
@@ -54,7 +60,7 @@ def transcript(conversation: object, turns: Sequence[tuple]) -> list[tuple[str,
         if lines and choice // 256 % 2:
             lines.append(("", lines[-1][1], False, lines[-1][3]))
         for number, line in enumerate((head + (text or "")).split("\n")):
-            lines.append((line, role if role in ROLES else None, number == 0, turn))
+            lines.append((line, role if role in ROLES else None, number == 0, index))
     return lines
 
 
@@ -127,18 +133,25 @@ def _windows(conversations: DataFrame, id_column: str) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).distinct()
-    own, place = F.floor(F.col("turn") / WINDOW), F.pmod("turn", F.lit(WINDOW))
+    turn = F.struct("turn", "role", "text")
+    # without an id: a window of its own, in no group
+    single = rows.where("_id IS NULL").select("_id", F.lit(0).cast("long").alias("window"), F.array(turn).alias("turns"))
+    order = ["_id", "turn", "role", F.substring("text", 1, PREFIX), F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+    numbered = number_rows(rows.where("_id IS NOT NULL"), order, "_place")
+    sizes = numbered.groupBy("_id").agg(F.min("_place").alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    placed = lookup(numbered, sizes, "_id", weight="_rows", spread="_place")
+    at = F.col("_place") - F.col("_start")
+    own, place = F.floor(at / WINDOW), F.pmod(at, F.lit(WINDOW))
     near = F.array(
         own,
-        F.when(place < OVERLAP, own - 1).otherwise(own),
-        F.when(place >= WINDOW - OVERLAP, own + 1).otherwise(own),
+        F.when(place < OVERLAP, F.greatest(own - 1, F.lit(0))).otherwise(own),
+        F.when((place >= WINDOW - OVERLAP) & ((own + 1) * WINDOW < F.col("_rows")), own + 1).otherwise(own),
     )
-    dealt = rows.withColumn("window", F.explode(F.array_distinct(near)))
-    return (
-        dealt.groupBy("_id", "window")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-        .where(F.exists("turns", lambda t: F.floor(t["turn"] / WINDOW) == F.col("window")))
+    dealt = placed.withColumn("window", F.explode(F.array_distinct(near)))
+    grouped = dealt.groupBy("_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("_place", turn.alias("row")))).alias("turns")
     )
+    return grouped.select("_id", "window", F.col("turns.row").alias("turns")).unionByName(single)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
@@ -186,7 +199,7 @@ def train(conversations: DataFrame, training: Column, id_column: str = "conv_id"
 
 def format_chats(conversations: DataFrame, model: RoleModel, id_column: str = "conv_id") -> DataFrame:
     """One row per conversation and window: id, window, n_lines, n_turns, n_right (lines whose role was
-    recovered), roles and the canonical text; conversations of up to ``WINDOW`` turns have one row."""
+    recovered), roles and the canonical text; conversations of up to ``WINDOW`` rows have one row."""
     shared = conversations.sparkSession.sparkContext.broadcast(model)
     kind = conversations.schema[id_column].dataType.simpleString()
 
@@ -196,8 +209,10 @@ def format_chats(conversations: DataFrame, model: RoleModel, id_column: str = "c
             for _, window, lines in _rows(iter([batch])):
                 states = shared.value.decode(observe([line[0] for line in lines]))
                 roles, texts, right, many = [], [], 0, 0
-                for (line, role, _, turn), state in zip(lines, states):
-                    if turn // WINDOW != window:
+                # a window holds consecutive rows, context first
+                start = max(0, window * WINDOW - OVERLAP)
+                for (line, role, _, index), state in zip(lines, states):
+                    if (start + index) // WINDOW != window:
                         continue
                     found, begins = STATES[state]
                     many += 1

@@ -350,6 +350,30 @@ def test_chats_odd_rows(spark):
     assert transcripts.format_chats(frame.limit(0), transcripts.train(frame.limit(0), F.lit(True))).count() == 0
 
 
+def test_chat_windows_hold_a_bounded_number_of_rows(spark):
+    many = 2500
+    turns = [(1, None, "user", f"line {n:05}") for n in range(many)]  # null turns
+    turns += [(2, 7, "assistant", f"line {n:05}") for n in range(many)]  # tied turns
+    turns += [(None, n, "user", f"line {n:05}") for n in range(many)]  # no id
+    turns += [(3, n * 10**6, "user", f"line {n:05}") for n in range(5)]  # turns far apart are one conversation
+    turns += [(4, n, "user", f"line {n:05}") for n in range(transcripts.WINDOW)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    rows = transcripts._windows(frame, "conv_id").select("_id", "window", F.size("turns").alias("n")).collect()
+    full = transcripts.WINDOW + transcripts.OVERLAP
+    hot = [(0, full), (1, full + transcripts.OVERLAP), (2, many - 2 * transcripts.WINDOW + transcripts.OVERLAP)]
+    for conversation in (1, 2):
+        assert sorted((r.window, r.n) for r in rows if r._id == conversation) == hot
+    assert [(r.window, r.n) for r in rows if r._id is None] == [(0, 1)] * many
+    assert [(r.window, r.n) for r in rows if r._id == 3] == [(0, 5)]
+    assert [(r.window, r.n) for r in rows if r._id == 4] == [(0, transcripts.WINDOW)]
+    result = transcripts.format_chats(frame, transcripts.train(frame, F.lit(True))).collect()
+    for conversation in (1, 2, None):
+        found = sorted((r for r in result if r.conv_id == conversation), key=lambda r: r.window)
+        lines = re.findall(r"line (\d+)", "".join(r.rendered for r in found))
+        assert sorted(map(int, lines)) == list(range(many))
+        assert conversation is None or lines == sorted(lines)
+
+
 # fingerprints ---------------------------------------------------------------------------------
 
 
