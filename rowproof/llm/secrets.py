@@ -8,8 +8,7 @@ are further spans of kind ``guess``. A scan of the whole column by a linear-time
 texts are looked at closely, so most texts never become Python strings.
 
 Defined cases: null and empty texts have no spans; rows are answered one by one, repeated ones too; a
-value of any length is judged (the dynamic programme looks back ``WIDEST`` characters at most, which
-bounds its work); an empty table gives an empty result; columns whose names clash with added ones go.
+value of any length is judged, and a repeat or walk in it may be of any length; an empty table gives an empty result; columns whose names clash with added ones go.
 """
 
 from __future__ import annotations
@@ -44,7 +43,7 @@ CONTEXT = rf"""(?:{"|".join(NAMES)})["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{{6,}}
 # What any match of the patterns above contains, built from the same names; RE2 scans for it.
 TRIGGER = rf"(?i:{'|'.join(NAMES)})|AKIA[A-Z0-9]|[0-9a-f]{{{LEAST_HEX}}}"
 LEAST_GUESSES = 10.0
-WIDEST = 64
+LONGEST_WORD, PERIODS = 14, (1, 2, 3, 4)
 
 COMMON = (
     "password pass admin root user login welcome letmein secret token test guest master default changeme hello "
@@ -97,26 +96,39 @@ def guess_cost(value: str) -> float:
             dates.setdefault(found.end(), []).append(start)
     best = [0.0] + [math.inf] * len(value)
     walk = 0  # start of the keyboard walk that ends here
+    # per period: start of the repeat that ends here, and by remainder the starts that may still be cheapest
+    since = dict.fromkeys(PERIODS, 0)
+    starts: dict[tuple[int, int], list[int]] = {}
     for end in range(1, len(value) + 1):
         cost = best[end - 1] + each
         if end > 1 and (lower[end - 2], lower[end - 1]) not in beside:
             walk = end - 1
         if end - walk >= 3:
             cost = min(cost, best[walk] + math.log10(40 * 2 ** min(end - walk, 40)))
-        for start in range(max(0, end - WIDEST), end - 2):
-            length = end - start
-            if length <= 14:
-                rank = ranks.get(lower[start:end])
-                extra = 0.0 if value[start:end] == lower[start:end] else 0.6
-                if rank is None:
-                    rank, extra = ranks.get(plain[start:end]), extra + 0.6
-                if rank is not None:
-                    cost = min(cost, best[start] + math.log10(rank + 1) + extra)
-            for period in (1, 2, 3, 4):
-                if length % period == 0 and length >= 3 * period // 1 and length > period:
-                    if value[start : end - period] == value[start + period : end]:
-                        cost = min(cost, best[start] + period * each + math.log10(length // period))
-                        break
+        for start in range(max(0, end - LONGEST_WORD), end - 2):
+            rank = ranks.get(lower[start:end])
+            extra = 0.0 if value[start:end] == lower[start:end] else 0.6
+            if rank is None:
+                rank, extra = ranks.get(plain[start:end]), extra + 0.6
+            if rank is not None:
+                cost = min(cost, best[start] + math.log10(rank + 1) + extra)
+        for period in PERIODS:
+            if end > period and value[end - 1] != value[end - 1 - period]:
+                since[period] = end - period
+                for rest in range(period):
+                    starts.pop((period, rest), None)
+            if end - 3 * period < since[period]:
+                continue
+            held = starts.setdefault((period, end % period), [])
+            held.append(end - 3 * period)
+            costs = [best[start] + math.log10((end - start) // period) for start in held]
+            # an earlier start that costs no more now never will; a later one without a dearer beginning neither
+            keep = [
+                n for n, start in enumerate(held)
+                if (n == 0 or costs[n] < min(costs[:n])) and best[start] < min((best[t] for t in held[n + 1 :]), default=math.inf)
+            ]
+            cost = min(cost, min(costs) + period * each)
+            starts[period, end % period] = [held[n] for n in keep]
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + math.log10(365 * 120))
         best[end] = cost

@@ -577,6 +577,28 @@ def test_secret_prefilter_lets_every_context_name_through():
     assert all(spans[-1][2] == "guess" for spans in found.values())
 
 
+def test_a_repeat_of_any_length_is_one_span():
+    for group in ("a", "ab", "x7q", "abcd"):
+        for many in (65, 260, 5000):
+            each = math.log10(secrets._variety(group))
+            assert secrets.guess_cost(group * many) <= len(group) * each + math.log10(many) + 1e-9
+    assert [span[2] for span in secrets.find_secrets("auth: " + "z" * 260)] == []
+    assert secrets.guess_cost("hR7x9Kq2LmPz" + "a" * 300) > secrets.guess_cost("hR7x9Kq2LmPz")
+    # against every start and period
+    pick = random.Random(5)
+    for _ in range(300):
+        value = "".join(pick.choice("jv") * pick.choice((1, 1, 2, 5)) if pick.random() < 0.8 else "jvv" * 4 for _ in range(12))
+        each, best = math.log10(26), [0.0]
+        for end in range(1, len(value) + 1):
+            spans = [best[end - 1] + each]
+            for period in (1, 2, 3, 4):
+                for start in range(end - 3 * period, -1, -period):
+                    if value[start : end - period] == value[start + period : end]:
+                        spans.append(best[start] + period * each + math.log10((end - start) // period))
+            best.append(min(spans))
+        assert secrets.guess_cost(value) == pytest.approx(best[-1])
+
+
 def test_guess_cost_orders_values():
     assert secrets.guess_cost("password") < secrets.guess_cost("p4ssword") < secrets.guess_cost("password1987") < 10
     assert secrets.guess_cost("qwertyuiop") < 6 and secrets.guess_cost("aaaaaaaaaaaa") < 6 and secrets.guess_cost("abcabcabcabc") < 9
