@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm import (
+    decontaminate,
     fingerprints,
     language,
     licenses,
     mixing,
     neardups,
     packing,
+    ranked,
+    repeats,
     secrets,
     topk,
     toxicity,
     transcripts,
 )
 from rowproof.llm.common import is_held_out, small_batches, table
+from rowproof.llm.oracles import SQL  # noqa: F401
 from rowproof.session import prepare as prepare_session
 
 
@@ -81,6 +85,22 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(documents).drop("text")
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents").select("doc_id", "text")
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    return decontaminate.scan_contamination(documents, items).drop("longest")
+
+
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents").select("doc_id", "text")
+    return ranked.rank_documents(documents, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents").select("doc_id", "text")
+    return repeats.scan_repeats(documents, plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -94,26 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_neardups,
         op10_secrets,
+        op11_decontaminate,
+        op12_ranked,
+        op13_repeats,
     )
 }
-
-# The other operators have no equivalent in SQL: see tests/llm.
-SQL = {
-    "op3_topk": """
-        WITH sound AS (
-            SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS v
-            FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
-        ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
-                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM sound q JOIN sound c ON q.vec_id <> c.vec_id
-            WHERE q.vec_id % 20 = 0
-        ), placed AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-            FROM scored
-        )
-        SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 20
-    """,
-}
