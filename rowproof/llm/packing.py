@@ -62,11 +62,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.last[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.apart: dict[str, bool] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts. The tokenizer lower-cases: doing A-Z first makes more words known."""
+        """Ids of UTF-8 texts. The tokenizer lower-cases: doing A-Z first makes more words known.
+
+        It composes accents first, though, and some (U+0300 to U+036F) compose with small letters only.
+        """
         split = [
-            (text if b"<|" in text else text.lower()).decode("utf-8", "replace").replace("\n", " ").split(" ")
+            (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower())
+            .decode("utf-8", "replace")
+            .replace("\n", " ")
+            .split(" ")
             for text in texts
         ]
         new = set().union(*split).difference(self.known)
@@ -78,9 +85,29 @@ class Encoder:
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    def _stands_apart(self, character: str) -> bool:
+        """Whether every mark after ``character`` is a token run of its own, by the tokenizer's own answer.
+
+        Not all letters are: some end in a combining mark once normalised, and that joins the mark.
+        """
+        if character not in self.apart:
+            one, *rest = (
+                found.ids
+                for found in self.tokenizer.encode_batch_fast(
+                    [character, *MARKS, *(character + mark for mark in MARKS)], add_special_tokens=False
+                )
+            )
+            marks, both = rest[: len(MARKS)], rest[len(MARKS) :]
+            self.apart[character] = all(one + mark == found for mark, found in zip(marks, both))
+        return self.apart[character]
+
     def _learn(self, words: set[str]) -> None:
         """A mark after a letter or digit is a token run of its own: ``word,`` is ``word`` and ``,``."""
-        stems = {word: stem for word in words if (stem := word.rstrip(MARKS)) != word and stem and stem[-1].isalnum()}
+        stems = {
+            word: stem
+            for word in words
+            if (stem := word.rstrip(MARKS)) != word and stem and stem[-1].isalnum() and self._stands_apart(stem[-1])
+        }
         parts = set(words).difference(stems)
         for word, stem in stems.items():
             parts.add(stem)
