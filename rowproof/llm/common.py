@@ -57,7 +57,8 @@ def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([*kept, *fields])
 
 
-def broadcast_if_small(frame: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(frame: DataFrame, row_bytes: int, most: int | None = None) -> DataFrame:
     """``frame`` as a written table, marked for broadcast only if its counted size is within ``most``."""
     written = cut(frame)
+    most = BROADCAST_BYTES if most is None else most
     return F.broadcast(written) if written.count() * row_bytes <= most else written

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.llm import common
 from rowproof.llm.blocks import SHINGLE_ROWS, mix, raw_texts, row_ranges, shingles, word_blocks
 from rowproof.llm.common import broadcast_if_small
 from rowproof.operators.lookup import lookup
@@ -271,8 +272,16 @@ def open_members(members: DataFrame, placed: DataFrame, group: int = GROUP) -> D
 
 
 def text_per_digest(texts: DataFrame, ends: DataFrame) -> DataFrame:
-    """(d, _text) of the digests in ``ends``, each once."""
-    return texts.join(broadcast_if_small(ends, 40), "d").groupBy("d").agg(F.first("_text").alias("_text"))
+    """(d, _text) of the digests in ``ends``, each once.
+
+    Copies become one row per task before anything moves: with few digests the others stay, with many all
+    texts are brought together by digest, and the digests join them there.
+    """
+    written = cut(ends)
+    if written.count() * 40 <= common.BROADCAST_BYTES:
+        texts = texts.join(F.broadcast(written), "d")
+        return texts.groupBy("d").agg(F.first("_text").alias("_text"))
+    return texts.groupBy("d").agg(F.first("_text").alias("_text")).join(written, "d", "left_semi")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -515,18 +524,20 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
 
 def drop_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one row of every class: the one with the smallest id (then text, then columns)."""
-    names = documents.columns
     known = text_classes(documents, id_column, text)
     # what goes: every text but the keeper, and of the keeper's rows all but one
     gone = known.where((F.col("d") != F.col("keeper")) | (F.col("_rows") > 1)).select(
-        "d", (F.col("d") == F.col("keeper")).alias("_kept")
+        "d", "_rows", (F.col("d") == F.col("keeper")).alias("kept")
     )
-    marked = documents.withColumn("_d", _digest(text)).join(
-        broadcast_if_small(gone.withColumnRenamed("d", "_d"), 40), "_d", "left"
+    # the document is one column, so that none of its own columns can clash
+    rows = documents.select(
+        F.struct(*[f"`{name}`" for name in documents.columns]).alias("row"),
+        _digest(text).alias("d"),
+        F.col(f"`{id_column}`").alias("id"),
+        F.xxhash64(F.col(f"`{id_column}`").cast("string"), F.spark_partition_id()).alias("spread"),
     )
-    alone = marked.where(F.col("_kept").isNull()).select(*[f"`{n}`" for n in names])
-    copies = marked.where(F.col("_kept")).withColumn("_row", F.struct(*[f"`{n}`" for n in names]))
-    order = F.struct(F.col(f"`{id_column}`").isNull().alias("n"), F.col(f"`{id_column}`").alias("i"), F.xxhash64("_row").alias("h"))
-    one = copies.groupBy("_d").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
-    return alone.unionByName(one)
-
+    marked = lookup(rows, gone, "d", weight="_rows", spread="spread")
+    alone = marked.where(F.col("kept").isNull()).select("row")
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.xxhash64("row").alias("h"))
+    one = marked.where(F.col("kept")).groupBy("d").agg(F.min_by("row", order).alias("row")).select("row")
+    return alone.unionByName(one).select("row.*")
