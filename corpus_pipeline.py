@@ -7,6 +7,7 @@ texts leave at the first stage (no letter, no language); the other cases are tho
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowproof.llm import language, mixing, neardups, packing, secrets
 from rowproof.llm.common import is_held_out, small_batches, table
@@ -22,9 +23,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language the model accepts; trained on three folds of the labelled ones."""
     prepare(spark)
-    names = docs.columns
     model = language.train(docs, ~is_held_out())
-    return language.identify(docs, model).where("NOT rejected").select(*names)
+    # the document is one column, so that none of its own columns can clash with the stage's
+    whole = docs.select(F.struct(*[f"`{name}`" for name in docs.columns]).alias("document"), "text")
+    return language.identify(whole, model).where("NOT rejected").select("document.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
