@@ -830,29 +830,35 @@ def _category_fit(schema: FeatureSchema, source: str) -> str:
 
 
 def _transformed(schema: FeatureSchema, source: str) -> str:
-    columns = []
+    """Every table once: the source is materialized, the numeric fit is one row, frequencies are maps."""
+    columns, fits, maps = [], [], []
     for f in schema.numeric:
-        median, scale = (
-            f"(SELECT {part} FROM nfit WHERE feature = '{f.name}')" for part in ("median", "scale")
-        )
+        fits += [
+            f"max(median) FILTER (feature = '{f.name}') AS median_{f.name}",
+            f"max(scale) FILTER (feature = '{f.name}') AS scale_{f.name}",
+        ]
+        median, scale = f"nfit.median_{f.name}", f"nfit.scale_{f.name}"
         columns += [
             f"round((coalesce({_log(f.source)}, {median}) - {median}) / {scale}, 6) AS {f.name}__scaled",
             f"CASE WHEN {f.source} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS {f.name}__missing",
         ]
-    joins = []
     for f in schema.categorical:
-        joins.append(
-            f"LEFT JOIN cfit c_{f.name} ON c_{f.name}.feature = '{f.name}' "
-            f"AND c_{f.name}.value IS NOT DISTINCT FROM s.{f.source}"
+        maps.append(
+            f"(SELECT map_from_entries(list(struct_pack(k := coalesce(value, chr(1)), v := frequency))) "
+            f"FROM cfit WHERE feature = '{f.name}') AS map_{f.name}"
         )
         columns += [
-            f"round(coalesce(c_{f.name}.frequency, 0.0), 6) AS {f.name}__frequency",
+            f"round(coalesce(cmap.map_{f.name}[coalesce(nullif(trim(s.{f.source}), ''), chr(1))], 0.0), 6) "
+            f"AS {f.name}__frequency",
             f"CASE WHEN s.{f.source} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS {f.name}__missing",
         ]
+    definition = VENDORS_SQL if source == "vendors" else TRANSACTIONS_SQL
     return (
-        f"WITH {VIEWS}, nfit AS ({_numeric_fit(schema, source)}), "
-        f"cfit AS ({_category_fit(schema, source)}) "
-        f"SELECT _record_id, {', '.join(columns)} FROM {source} s {' '.join(joins)}"
+        f"WITH {source} AS MATERIALIZED ({definition}), "
+        f"nfit AS MATERIALIZED (SELECT {', '.join(fits)} FROM ({_numeric_fit(schema, source)})), "
+        f"cfit AS MATERIALIZED ({_category_fit(schema, source)}), "
+        f"cmap AS MATERIALIZED (SELECT {', '.join(maps)}) "
+        f"SELECT _record_id, {', '.join(columns)} FROM {source} s, nfit, cmap"
     )
 
 

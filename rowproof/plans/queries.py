@@ -20,13 +20,13 @@ from rowproof.operators import anomaly, contract, defects, evaluate, features, i
 from rowproof.operators import normalize, ordering, profile, rerank, review
 from rowproof.operators import rules as R
 from rowproof.plans import baseline, batch, experiment, views
-from rowproof.plans.catalogue import WEIGHTS, Issue
+from rowproof.plans.catalogue import DEFECTS_PER_TYPE, WEIGHTS, Issue
 from rowproof.session import cut, prepare, shared_folder
 from rowproof.sources import extracts, sinks, snapshots
 from rowproof.streaming import score as streaming
 
 SEED = 20240622
-PER_TYPE = 30  # the documented 40 leave too few eligible vendors in the smallest folder
+PER_TYPE = DEFECTS_PER_TYPE  # four vendor steps need 160 vendors: the smallest folder has too few
 K = 50
 MIDDLE = "1998-04-17"  # splits the orders into two periods
 
