@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rowproof.functions.text import clean, signed_log1p, to_number
 from rowproof.operators.lookup import lookup
-from rowproof.operators.ordering import exact_quantiles, stack_columns
+from rowproof.operators.ordering import approximate_quantiles, exact_quantiles, stack_columns
 from rowproof.session import cut, small_table
 
 TRANSFORMS = {"identity": lambda value: value, "signed_log1p": signed_log1p}
@@ -148,14 +148,27 @@ def check_features(frame: DataFrame, schema: FeatureSchema) -> None:
             raise ValueError(f"Numeric feature {feature.source!r} must contain finite values")
 
 
-def fit_numeric(frame: DataFrame, schema: FeatureSchema) -> DataFrame:
-    """Median and interquartile range of every transformed number; scale 0 becomes 1."""
+def numeric_values(frame: DataFrame, schema: FeatureSchema) -> DataFrame:
+    """(feature, value): every transformed number of every row."""
     columns = {
         feature.name: TRANSFORMS[feature.transform](_number(frame, feature))
         for feature in schema.numeric
     }
-    long = stack_columns(frame, columns, "feature", "value")
-    found = exact_quantiles(long, "feature", "value", (0.25, 0.5, 0.75))
+    return stack_columns(frame, columns, "feature", "value")
+
+
+def fit_numeric(
+    frame: DataFrame, schema: FeatureSchema, approx: bool = False, relative_error: float = 0.001
+) -> DataFrame:
+    """Median and interquartile range of every transformed number; scale 0 becomes 1.
+
+    ``approx``: quantiles from sketches, each off by at most ``relative_error`` of the rows in rank.
+    """
+    long = numeric_values(frame, schema)
+    if approx:
+        found = approximate_quantiles(long, "feature", "value", QUARTILES, relative_error)
+    else:
+        found = exact_quantiles(long, "feature", "value", QUARTILES)
     scale = F.col("q2") - F.col("q0")
     usable = (scale != 0) & ~F.isnan(scale) & (F.abs(scale) != float("inf"))
     return found.select(
@@ -185,14 +198,22 @@ def fit_categorical(frame: DataFrame, schema: FeatureSchema) -> DataFrame:
     )
 
 
+QUARTILES = (0.25, 0.5, 0.75)
 _NUMERIC_FIT = "feature string, median double, scale double"
 _CATEGORICAL_FIT = "feature string, value string, n long, frequency double"
 
 
 def fit_features(
-    frame: DataFrame, schema: FeatureSchema, role: str = "development", check: bool = True
+    frame: DataFrame,
+    schema: FeatureSchema,
+    role: str = "development",
+    check: bool = True,
+    approx: bool = False,
 ) -> FeatureFit:
-    """Learn from development records only; every other period role is refused."""
+    """Learn from development records only; every other period role is refused.
+
+    ``approx``: medians and scales from quantile sketches.
+    """
     if role != "development":
         raise ValueError(f"Features may only be fitted on a development period, not on {role}")
     if check:
@@ -203,7 +224,7 @@ def fit_features(
     numeric = small_table(spark, [], _NUMERIC_FIT)
     if schema.numeric:
         # one row per declared feature
-        rows = [tuple(row) for row in fit_numeric(frame, schema).collect()]
+        rows = [tuple(row) for row in fit_numeric(frame, schema, approx).collect()]
         for feature in schema.numeric:
             if feature.name not in {row[0] for row in rows}:
                 raise ValueError(

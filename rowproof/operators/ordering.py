@@ -152,6 +152,59 @@ def exact_quantiles(
     return found.select(group, *columns)
 
 
+def approximate_quantiles(
+    values: DataFrame,
+    group: str,
+    value: str,
+    probabilities: Sequence[float],
+    relative_error: float = 0.001,
+    prefix: str = "q",
+) -> DataFrame:
+    """Quantiles per group from mergeable sketches: one partial aggregation, nothing is sorted.
+
+    A result is a value of the group whose rank differs from ``p * n`` by at most ``relative_error * n``;
+    a sketch holds some 1 / ``relative_error`` values, and only sketches are shuffled.
+    """
+    number = F.col(value).cast("double")
+    sketch = F.percentile_approx(
+        F.when(~F.isnan(number), number), [float(p) for p in probabilities], F.lit(round(1 / relative_error))
+    )
+    found = values.groupBy(group).agg(sketch.alias("_found")).where(F.col("_found").isNotNull())
+    return found.select(
+        group, *[F.get("_found", F.lit(i)).alias(f"{prefix}{i}") for i in range(len(probabilities))]
+    )
+
+
+def rank_errors(
+    values: DataFrame,
+    estimates: DataFrame,
+    group: str,
+    value: str,
+    probabilities: Sequence[float],
+    prefix: str = "q",
+) -> DataFrame:
+    """(group, probability, n, rank_error): how far off the estimated quantiles are, as a share of the rows.
+
+    An estimate held by several rows covers all of their ranks; the nearest one counts.
+    """
+    names = [f"{prefix}{i}" for i in range(len(probabilities))]
+    number = F.col(value).cast("double")
+    joined = values.where(number.isNotNull() & ~F.isnan(number)).join(
+        F.broadcast(estimates.select(group, *names)), group  # one row per group
+    )
+    counted = joined.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(number < F.col(name)).alias(f"_below{i}") for i, name in enumerate(names)],
+        *[F.count_if(number <= F.col(name)).alias(f"_upto{i}") for i, name in enumerate(names)],
+    )
+    found = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * F.col("n")
+        off = F.greatest(F.col(f"_below{i}") - place, place - F.col(f"_upto{i}"), F.lit(0.0))
+        found.append(F.struct(F.lit(float(p)).alias("probability"), (off / F.col("n")).alias("rank_error")))
+    return counted.select(group, "n", F.explode(F.array(*found)).alias("_one")).select(group, "n", "_one.*")
+
+
 def higher_quantile(scores: DataFrame, score: str, probability: float) -> float:
     """The quantile that rounds up to an existing value: ``sorted[ceil((n-1)*p)]``."""
     counted = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"))

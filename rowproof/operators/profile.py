@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowproof.functions.text import digest_long, signed_log1p
-from rowproof.operators.ordering import exact_quantiles, number_rows, stack_columns
+from rowproof.operators.ordering import approximate_quantiles, exact_quantiles, number_rows, stack_columns
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 CATEGORICAL_RATIO = 0.05
@@ -200,9 +200,16 @@ def missingness_comparison(
 
 
 def distribution_summary(
-    frame: DataFrame, columns: Sequence[str], percentiles: Sequence[float]
+    frame: DataFrame,
+    columns: Sequence[str],
+    percentiles: Sequence[float],
+    approx: bool = False,
+    relative_error: float = 0.001,
 ) -> DataFrame:
-    """count, mean, sample deviation, extremes and exact percentiles per column."""
+    """count, mean, sample deviation, extremes and percentiles per column.
+
+    Percentiles are exact, or with ``approx`` values whose rank is off by at most ``relative_error`` of the rows.
+    """
     long = stack_columns(frame, {name: F.col(name) for name in columns}, "field", "value")
     moments = long.groupBy("field").agg(
         F.count("value").alias("count"),
@@ -211,7 +218,10 @@ def distribution_summary(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quantiles = exact_quantiles(long, "field", "value", percentiles)
+    if approx:
+        quantiles = approximate_quantiles(long, "field", "value", percentiles, relative_error)
+    else:
+        quantiles = exact_quantiles(long, "field", "value", percentiles)
     names = [f"p{round(p * 100, 3):g}".replace(".", "_") for p in percentiles]
     renamed = quantiles.select(
         "field", *[F.col(f"q{i}").alias(name) for i, name in enumerate(names)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rowproof.operators.anomaly import INTERPRETATION
-from rowproof.operators.features import TRANSACTION_FEATURES, VENDOR_FEATURES, FeatureSchema
+from rowproof.operators.features import QUARTILES, TRANSACTION_FEATURES, VENDOR_FEATURES, FeatureSchema
 from rowproof.operators.normalize import DATE_COLUMNS
 from rowproof.plans.catalogue import ISSUES, STATE_CODES, WEIGHTS
 from rowproof.plans.queries import K, MIDDLE, PER_TYPE, RULE_QUERIES, SEED
@@ -866,6 +866,17 @@ SQL["features_fit_numeric"] = (
     f"WITH {VIEWS} SELECT feature, round(median, 6) AS median, round(scale, 6) AS scale "
     f"FROM ({_numeric_fit(TRANSACTION_FEATURES, 'transactions')})"
 )
+SQL["features_fit_approx"] = f"WITH {VIEWS} " + " UNION ALL ".join(
+    f"SELECT '{f.name}' AS feature, {p}::DOUBLE AS probability, count({f.source}) AS n, true AS within, "
+    f"true AS fitted FROM transactions"
+    for f in TRANSACTION_FEATURES.numeric
+    for p in QUARTILES
+)
+SQL["distribution_approx"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS field, {p}::DOUBLE AS probability, count({column}) AS n, true AS within FROM lineitem"
+    for name, column in (("price", "l_extendedprice"), ("tax", "l_tax"))
+    for p in (0.01, 0.25, 0.5, 0.75, 0.99)
+)
 SQL["features_fit_categorical"] = (
     f"WITH {VIEWS} SELECT feature, value, n, round(frequency, 6) AS frequency "
     f"FROM ({_category_fit(TRANSACTION_FEATURES, 'transactions')})"

@@ -423,6 +423,21 @@ def distribution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def distribution_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the sketched percentiles of line prices and taxes keep the stated rank error."""
+    columns, percentiles, most = ["price", "tax"], (0.01, 0.25, 0.5, 0.75, 0.99), 0.005
+    lines = views.table(spark, folder, "lineitem").select(
+        F.col("l_extendedprice").cast("double").alias("price"), F.col("l_tax").cast("double").alias("tax")
+    )
+    summary = profile.distribution_summary(lines, columns, percentiles, approx=True, relative_error=most)
+    names = [f"p{100 * p:g}" for p in percentiles]
+    sketched = summary.select("field", "count", *[F.col(name).alias(f"q{i}") for i, name in enumerate(names)])
+    values = ordering.stack_columns(lines, {name: F.col(name) for name in columns}, "field", "value")
+    found = ordering.rank_errors(values, sketched, "field", "value", percentiles)
+    return found.select("field", "probability", "n", (F.col("rank_error") <= most).alias("within"))
+
+
 @register
 def log_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return profile.log_histogram(views.transactions(spark, folder), "total_dollars_obligated")
@@ -666,6 +681,19 @@ def features_fit_numeric(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features.fit_numeric(frame, features.TRANSACTION_FEATURES))
 
 
+@register
+def features_fit_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the sketched quartiles of every feature keep the stated rank error, by exact ranks."""
+    frame, schema, most = views.transactions(spark, folder), features.TRANSACTION_FEATURES, 0.01
+    values = features.numeric_values(frame, schema)
+    sketched = ordering.approximate_quantiles(values, "feature", "value", features.QUARTILES, most)
+    fit = features.fit_numeric(frame, schema, approx=True, relative_error=most)
+    found = ordering.rank_errors(values, sketched, "feature", "value", features.QUARTILES)
+    return found.join(fit.select("feature", F.lit(True).alias("fitted")), "feature").select(
+        "feature", "probability", "n", (F.col("rank_error") <= most).alias("within"), "fitted"
+    )
+
+
 @register
 def features_fit_categorical(spark: SparkSession, folder: str) -> DataFrame:
     frame = views.transactions(spark, folder)
