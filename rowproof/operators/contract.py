@@ -271,13 +271,20 @@ def record_problems(table: str, contract: TableContract, fiscal_year: Column) ->
     return F.filter(F.array(*problems), lambda text: text.isNotNull())
 
 
-def split_records(
+def mark_records(
     records: DataFrame, table: str, contract: TableContract, fiscal_year: Column
-) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused with ``problems``); works on streams, row by row."""
+) -> DataFrame:
+    """The records with ``problems``, empty for accepted ones; works on streams, row by row."""
     unknown = sorted(set(records.columns) - {column.name for column in contract.columns})
     if unknown:
         raise ValueError(f"{table.title()} record has unknown fields: {unknown}")
-    marked = records.withColumn("problems", record_problems(table, contract, fiscal_year))
+    return records.withColumn("problems", record_problems(table, contract, fiscal_year))
+
+
+def split_records(
+    records: DataFrame, table: str, contract: TableContract, fiscal_year: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused with ``problems``)."""
+    marked = mark_records(records, table, contract, fiscal_year)
     accepted = marked.where(F.size("problems") == 0).drop("problems")
     return accepted, marked.where(F.size("problems") > 0)

@@ -1231,7 +1231,10 @@ SELECT ' T' || CAST(o_orderkey AS VARCHAR) || ' ' AS {KEY},
             WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'unknown' END AS action_date,
        CASE WHEN o_orderstatus = 'P' THEN '$' ELSE '' END || CAST(o_totalprice AS VARCHAR)
            AS federal_action_obligation,
-       '  ' || o_orderpriority AS recipient_name
+       '  ' || o_orderpriority AS recipient_name,
+       CASE WHEN o_orderkey % 3 = 0
+            THEN 'said "' || o_orderpriority || '",' || chr(10) || '"' || CAST(o_custkey AS VARCHAR) || chr(10)
+            ELSE o_orderpriority END AS note
 FROM orders
 """
 SQL["period_scan"] = f"""
@@ -1240,8 +1243,10 @@ SELECT _record_id, vendor_id, strftime(action_date, {_STAMP}) AS action_date, 19
 FROM late
 """
 SQL["upload_scan"] = """
-SELECT printf('%09d', c_custkey) AS vendor_id, nullif(c_mktsegment, 'BUILDING') AS recipient_name
+SELECT 'vendor' AS target_table, printf('%09d', c_custkey) AS vendor_id, nullif(c_mktsegment, 'BUILDING') AS value
 FROM customer
+UNION ALL
+SELECT 'transaction', printf('%09d', o_custkey), CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END FROM orders
 """
 _EVENTS = """
 SELECT 'event' AS target_table, record_id, issue_type, severity, severity_rank, evidence,
@@ -1262,7 +1267,29 @@ FROM (
 )
 """
 SQL["stream_findings"] = _EVENTS
+_REFUSED = "(event_id % 7 = 3 OR user_id % 5 = 0)"
 SQL["stream_runs"] = f"""
 SELECT record_id, issue_type, CAST(risk_score AS DOUBLE) AS risk_score,
        CAST(risk_score AS DOUBLE) AS review_priority FROM ({_EVENTS})
+WHERE record_id NOT IN (SELECT CAST(event_id AS VARCHAR) FROM events WHERE {_REFUSED})
+"""
+SQL["stream_rejects"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS record_id,
+       concat_ws(',', CASE WHEN event_id % 7 = 3 THEN 'value_over_ten' END, CASE WHEN user_id % 5 = 0 THEN 'user' END)
+           AS problems,
+       (SELECT count(*) FROM events WHERE NOT {_REFUSED}) AS accepted, (SELECT count(*) FROM events) AS read
+FROM events WHERE {_REFUSED}
+"""
+SQL["torn_run"] = f"""
+WITH {VIEWS}, found AS ({findings()})
+SELECT unnest(['a', 'b']) AS run_id, (SELECT count(*) FROM found) AS count, CAST(0 AS BIGINT) AS of_torn_run
+"""
+SQL["snapshot_report"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, problem, CAST(1 AS BIGINT) AS files, true AS whole_valid,
+       false AS broken_valid
+FROM (
+  SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'other hash' WHEN 2 THEN 'other size' WHEN 3 THEN 'missing'
+                      WHEN 4 THEN 'extra' END AS problem FROM nation
+  UNION ALL SELECT 3, 'extra'
+)
 """

@@ -1013,7 +1013,7 @@ def feedback_store(spark: SparkSession, folder: str) -> DataFrame:
     """Append a batch of verdicts on a saved run and join them with their findings."""
     path, run = scratch(spark), "run-1"
     _save(spark, folder, path, run)
-    findings = sinks.read_runs(spark, f"{path}/findings")
+    findings = sinks.read_findings(spark, path)
     verdict = F.when(F.col("severity") == "critical", "correct_flag").otherwise("false_alarm")
     batch_ = findings.select(
         "finding_id",
@@ -1120,9 +1120,15 @@ def findings_export(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def raw_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw CSV parts written from the orders, read back as one table of strings."""
+    """Raw CSV parts written from the orders, one column with quotes and line breaks, read back as strings."""
     path = scratch(spark)
-    raw = _raw_orders(spark, folder)
+    orders = views.table(spark, folder, "orders")
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\n"'), F.col("o_custkey").cast("string"), F.lit("\n"))
+    keyed = orders.select(
+        F.format_string(" T%d ", "o_orderkey").alias("contract_transaction_unique_key"),
+        F.when(F.col("o_orderkey") % 3 == 0, note).otherwise(F.col("o_orderpriority")).alias("note"),
+    )
+    raw = _raw_orders(spark, folder).join(keyed, "contract_transaction_unique_key")
     target = f"{path}/fy{views.FISCAL_YEAR}"
     raw.repartition(3).write.option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
@@ -1152,9 +1158,16 @@ def upload_scan(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("c_mktsegment"))
         .alias("recipient_name"),
     )
+    orders = views.table(spark, folder, "orders").select(
+        F.format_string("%09d", "o_custkey").alias("vendor_id"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderpriority")).alias("clerk"),
+    )
     vendors.write.option("header", True).csv(f"{path}/vendors")
-    vendors.select("vendor_id").write.option("header", True).csv(f"{path}/transactions")
-    return extracts.read_upload(spark, f"{path}/vendors", f"{path}/transactions")[0]
+    orders.write.option("header", True).csv(f"{path}/transactions")
+    parent, child = extracts.read_upload(spark, f"{path}/vendors", f"{path}/transactions")
+    return parent.select(F.lit("vendor").alias("target_table"), "vendor_id", F.col("recipient_name").alias("value")).unionByName(
+        child.select(F.lit("transaction").alias("target_table"), "vendor_id", F.col("clerk").alias("value"))
+    )
 
 
 @register
@@ -1198,19 +1211,107 @@ def stream_findings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{path}/out")
 
 
-@register
-def stream_runs(spark: SparkSession, folder: str) -> DataFrame:
+EVENT = contract.TableContract(
+    "_record_id",
+    (
+        contract.ColumnRule("_record_id", "string", nullable=False),
+        contract.ColumnRule("event_type", "string"),
+        contract.ColumnRule("value_over_ten", "integer", nullable=False),
+        contract.ColumnRule("at", "datetime", nullable=False),
+        contract.ColumnRule("user", "string", nullable=False),
+    ),
+)
+
+
+def _raw_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as they might arrive: numbers as text, some no numbers, some without a user."""
+    schema = views.table(spark, folder, "events").schema
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
+    number = (F.floor("value") - 10).cast("string")
+    return stream.select(
+        F.col("event_id").cast("string").alias("_record_id"),
+        "event_type",
+        F.when(F.col("event_id") % 7 == 3, F.lit("n/a")).otherwise(number).alias("value_over_ten"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")).otherwise(F.lit(" ")).alias("user"),
+    )
+
+
+def _stream_runs(spark: SparkSession, folder: str) -> str:
     path = scratch(spark)
     streaming.write_runs(
-        _event_stream(spark, folder),
+        _raw_events(spark, folder),
         _event_rules(),
         EVENT_WEIGHTS,
         "event",
         path,
         f"{path}/checkpoint",
         fiscal_year=2024,
+        contract=EVENT,
     ).awaitTermination()
-    found = sinks.read_runs(spark, f"{path}/findings")
+    return path
+
+
+@register
+def stream_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of the accepted events, of complete runs."""
+    found = sinks.read_findings(spark, _stream_runs(spark, folder))
     return found.select("record_id", "issue_type", "risk_score", "review_priority")
 
 
+@register
+def stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The refused events with their problems, and how many were accepted and read."""
+    path = _stream_runs(spark, folder)
+    refused = spark.read.parquet(f"{path}/refused")
+    accepted = sinks.committed_runs(spark, path).agg(F.sum("transaction_records").alias("accepted"))
+    counted = refused.agg(F.count(F.lit(1)).alias("refused"))
+    # one row each
+    totals = accepted.join(F.broadcast(counted), F.lit(True)).select(
+        "accepted", (F.col("accepted") + F.col("refused")).alias("read")
+    )
+    return refused.join(F.broadcast(totals), F.lit(True)).select(
+        F.col("_record_id").alias("record_id"), F.array_join("problems", ",").alias("problems"), "accepted", "read"
+    )
+
+
+@register
+def torn_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run whose commit record is missing is invisible; the other ones are whole."""
+    path = scratch(spark)
+    for run in ("a", "b"):
+        _save(spark, folder, path, run)
+    # what a writer leaves that was lost before its last step: findings of a third run, and a second attempt of a
+    lost = spark.read.parquet(f"{path}/findings").where("run_id = 'b'").drop("run_id", "attempt").limit(7)
+    lost = cut(lost)
+    for place in ("run_id=c/attempt=x", "run_id=a/attempt=y"):
+        lost.write.parquet(f"{path}/findings/{place}")
+    found = sinks.read_findings(spark, path).groupBy("run_id").count()
+    missing = sinks.list_findings(spark, path, "c").agg(F.count(F.lit(1)).alias("of_torn_run"))
+    return found.join(F.broadcast(missing), F.lit(True)).select("run_id", "count", "of_torn_run")
+
+
+@register
+def snapshot_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest with one changed hash, one other size, one missing and one unlisted file, and whether it is valid."""
+    path = scratch(spark)
+    nations = views.table(spark, folder, "nation").select("n_nationkey", "n_name")
+    nations.write.partitionBy("n_nationkey").text(f"{path}/nations")
+    digests = snapshots.file_digests(spark, f"{path}/nations", "*.txt")
+    key = F.regexp_extract("file", "^n_nationkey=([0-9]+)/", 1).cast("long")
+    entries = cut(digests.withColumn("key", key))
+    changed = entries.where("key != 4").select(
+        F.when(F.col("key") == 3, F.lit("n_nationkey=3/gone.txt")).otherwise(F.col("file")).alias("file"),
+        (F.col("bytes") + F.when(F.col("key") == 2, 1).otherwise(0)).alias("bytes"),
+        F.when(F.col("key") == 1, F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256")).alias("sha256"),
+    )
+    sinks.write_table(changed, f"{path}/manifest")
+    manifest = spark.read.parquet(f"{path}/manifest")
+    found = snapshots.snapshot_report(manifest, f"{path}/nations")
+    whole = snapshots.snapshot_is_valid(spark, entries.select("file", "bytes", "sha256"), f"{path}/nations")
+    broken = snapshots.snapshot_is_valid(spark, manifest, f"{path}/nations")
+    return found.groupBy(F.regexp_extract("file", "^n_nationkey=([0-9]+)/", 1).cast("long").alias("n_nationkey"), "problem").agg(
+        F.count(F.lit(1)).alias("files"), F.lit(whole).alias("whole_valid"), F.lit(broken).alias("broken_valid")
+    )

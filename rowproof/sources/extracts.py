@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.functions.text import missing_tokens_to_null
+from rowproof.sources.records import read_csv_records
 
 RAW_PARTS = "*PrimeTransactions*.csv"
 
@@ -30,53 +33,26 @@ def read_strings(
     )
 
 
-def _may_go_on(line: Column) -> Column:
-    """Whether quotes are left in ``line`` once its escaped quotes and whole quoted fields are gone.
-
-    If no line of a file has any, each of its lines is a record of its own.
-    """
-    fields = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), r'(?:^|,)"[^"]*"(?=,|$)', "")
-    return F.contains(line, F.lit('"')) & F.contains(fields, F.lit('"'))
-
-
 def read_raw_transactions(
     spark: SparkSession,
     folder: str,
     fiscal_year: int | str,
     pattern: str = RAW_PARTS,
-    multi_line: bool | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All parts of a year. Parts with the same header are one scan; others are unioned.
+    """All parts of a year as one table of strings; missing tokens become null.
 
-    A scan of the lines finds the parts in which a quoted text may go on over a line break; such
-    a part is read in one task, and all other parts are split over tasks. ``multi_line`` set to
-    True or False says it for all parts instead.
+    Every part is split over tasks, also one with line breaks inside quotes. ``columns``: the declared list, for
+    parts with different headers; by default all columns of all headers.
     """
-    nothing = f"No raw transaction files found for FY{fiscal_year}. Run acquisition first."
-    path = f"{folder}/fy{fiscal_year}"
+    nothing = f"There is no raw extract of FY{fiscal_year}. Run acquisition first."
     try:
-        listing = spark.read.option("pathGlobFilter", pattern).text(path)
-    except AnalysisException as error:
+        frame = read_csv_records(spark, f"{folder}/fy{fiscal_year}", pattern, columns)
+    except (AnalysisException, FileNotFoundError) as error:
         raise FileNotFoundError(nothing) from error
-    files = sorted(listing.inputFiles())
-    if not files:
-        raise FileNotFoundError(nothing)
-    if multi_line is None:
-        # at most one row per part
-        open_ended = listing.where(_may_go_on(F.col("value"))).select(F.input_file_name()).distinct()
-        whole = {row[0] for row in open_ended.collect()}
-    else:
-        whole = set(files) if multi_line else set()
-    by_header: dict[tuple[tuple[str, ...], bool], list[str]] = {}
-    for name in files:
-        # only the first line of the part is read
-        header = tuple(_csv(spark).csv(name).columns)
-        by_header.setdefault((header, name in whole), []).append(name)
-    frames = [read_strings(spark, names, lines) for (_, lines), names in by_header.items()]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame, allowMissingColumns=True)
-    return result
+    return frame.select(
+        *[missing_tokens_to_null(F.col(f"`{name}`")).alias(name) for name in frame.columns]
+    )
 
 
 def read_period(

@@ -65,26 +65,71 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+MANIFEST = "file string, bytes long, sha256 string"
+
+
+def snapshot_report(manifest: DataFrame, folder: str) -> DataFrame:
+    """(file, problem): every file of the manifest or the folder; ``problem`` is null where both agree.
+
+    ``manifest`` has file, bytes and sha256, one row per file, and may be of any length: it is joined
+    with the digests. Problems: incomplete entry, outside the folder, listed twice, missing, other size, other hash,
+    and extra for a file that the manifest does not list.
+    """
+    spark = manifest.sparkSession
+    listed = manifest.select(
+        F.col("file").cast("string").alias("file"),
+        F.col("bytes").try_cast("long").alias("bytes"),
+        F.col("sha256").cast("string").alias("sha256"),
+    )
+    wanted = listed.groupBy("file").agg(
+        F.count(F.lit(1)).alias("_listed"),
+        F.min("bytes").alias("_bytes"),
+        F.min("sha256").alias("_sha256"),
+        (F.count_if(F.col("bytes").isNull() | F.col("sha256").isNull()) > 0).alias("_torn"),
+    )
+    if _exists(spark, folder):
+        found = file_digests(spark, folder)
+    else:
+        found = small_table(spark, [], MANIFEST)
+    joined = wanted.join(found, "file", "full_outer")
+    outside = F.col("file").startswith("/") | F.array_contains(F.split("file", "/"), "..")
+    problem = (
+        F.when(F.col("_listed").isNull(), "extra")
+        .when(F.col("file").isNull() | F.col("_torn"), "incomplete entry")
+        .when(outside, "outside the folder")
+        .when(F.col("_listed") > 1, "listed twice")
+        .when(F.col("bytes").isNull(), "missing")
+        .when(F.col("bytes") != F.col("_bytes"), "other size")
+        .when(F.col("sha256") != F.col("_sha256"), "other hash")
+    )
+    return joined.select("file", problem.alias("problem"))
+
+
+def manifest_table(spark: SparkSession, entries: Sequence[dict] | None) -> DataFrame | None:
+    """The entries of a manifest document as a table; None if it is empty or malformed."""
+    if not entries or not all(isinstance(entry, dict) for entry in entries):
+        return None
+    if not all({"file", "bytes", "sha256"} <= set(entry) for entry in entries):
+        return None
+    rows = [(str(entry["file"]), int(entry["bytes"]), str(entry["sha256"])) for entry in entries]
+    return small_table(spark, rows, MANIFEST)
+
+
 def snapshot_is_valid(
-    spark: SparkSession, manifest: Sequence[dict] | None, folder: str
+    spark: SparkSession, manifest: DataFrame | Sequence[dict] | None, folder: str
 ) -> bool:
-    """Every manifest file lies in the folder with the same size and hash.
+    """Every manifest file lies in the folder with the same size and hash; further files do not matter.
 
-    An empty or malformed manifest is not valid.
+    An empty or malformed manifest is not valid. A long one is best given as a table.
     """
-    if not manifest or not _exists(spark, folder):
+    if not isinstance(manifest, DataFrame):
+        manifest = manifest_table(spark, manifest)
+    if manifest is None:
         return False
-    rows = []
-    for entry in manifest:
-        if not isinstance(entry, dict) or not {"file", "bytes", "sha256"} <= set(entry):
-            return False
-        name = str(entry["file"])
-        if name.startswith("/") or ".." in name.split("/"):
-            return False
-        rows.append((name, int(entry["bytes"]), str(entry["sha256"])))
-    wanted = small_table(spark, rows, "file string, bytes long, sha256 string")
-    found = file_digests(spark, folder)
-    return wanted.join(found, ["file", "bytes", "sha256"], "left_anti").isEmpty()
+    wrong = F.count_if(F.col("problem").isNotNull() & (F.col("problem") != "extra"))
+    kept = F.count_if(F.col("problem").isNull())
+    counts = snapshot_report(manifest, folder).agg(wrong.alias("wrong"), kept.alias("kept")).first()
+    return counts["wrong"] == 0 and counts["kept"] > 0
 
 
 def preparation_counts(vendors: DataFrame, transactions: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def test_runs_feedback_and_export(spark, tmp_path):
     def verdicts(*rows):
         return spark.createDataFrame(list(rows), "finding_id string, verdict string, corrected_issue_type string, notes string")
 
-    stored = spark.read.parquet(f"{path}/findings")
+    stored = sinks.read_findings(spark, path)
     known = listed[0]["finding_id"]
     good, unknown = (known, "correct_flag", None, None), ("nope", "unsure", None, None)
     assert not sinks.append_feedback(verdicts(good, unknown), stored, f"{path}/feedback", "b")
@@ -228,3 +228,21 @@ def test_runs_feedback_and_export(spark, tmp_path):
         sinks.append_feedback(verdicts((known, "maybe", None, None)), stored, f"{path}/feedback")
     examples = sinks.feedback_examples(stored, spark.read.parquet(f"{path}/feedback")).collect()
     assert [(r["finding_id"], r["verdict"], r["risk_score"]) for r in examples] == [(known, "correct_flag", 100.0)]
+
+
+def test_a_run_is_seen_with_its_commit_record_only(spark, tmp_path):
+    findings = spark.createDataFrame(
+        [("vendor", f"V{n}", "invalid_vendor_uei", "critical", 100, 4, "e") for n in range(3)],
+        f"{FINDING}, severity_rank int, evidence string")
+    path = str(tmp_path / "runs")
+    facts = dict(fiscal_year=2024, vendor_records=2, transaction_records=0, schema_version="1.0.0", model_version="m")
+    sinks.save_run(findings, path, run_id="a", **facts)
+    torn = sinks.list_findings(spark, path, "a").drop("run_id")
+    torn.write.parquet(f"{path}/findings/run_id=b/attempt=lost")
+    torn.limit(1).write.parquet(f"{path}/findings/run_id=a/attempt=lost")
+    assert sinks.list_findings(spark, path, "b").count() == 0 and sinks.list_findings(spark, path, "none").count() == 0
+    assert sinks.list_findings(spark, path, "a").count() == 3
+    assert [r["run_id"] for r in sinks.read_findings(spark, path).collect()] == ["a"] * 3
+    sinks.save_run(findings.limit(2), path, run_id="a", **facts)
+    assert sinks.list_findings(spark, path, "a").count() == 2
+    assert [r["finding_count"] for r in sinks.committed_runs(spark, path).collect()] == [2]
