@@ -121,6 +121,35 @@ def _category(feature: CategoricalFeature) -> Column:
     return clean(F.col(f"`{feature.source}`").cast("string"))
 
 
+def _feature_checks(frame: DataFrame, schema: FeatureSchema) -> list[tuple[str, str, Column]]:
+    """(check, field, condition of a violating row)."""
+    record_id = clean(F.col(schema.record_id).cast("string"))
+    checks = [("missing_id", schema.record_id, record_id.isNull())]
+    for feature in schema.numeric:
+        raw, number = F.col(f"`{feature.source}`"), _number(frame, feature)
+        text = isinstance(frame.schema[feature.source].dataType, T.StringType)
+        checks.append(("not_a_number", feature.source, raw.isNotNull() & number.isNull() if text else F.lit(False)))
+        checks.append(("not_finite", feature.source, F.abs(number) == float("inf")))
+    return checks
+
+
+def feature_problems(frame: DataFrame, schema: FeatureSchema) -> DataFrame:
+    """(check, field, violations): every check of the input, also those that nothing breaks."""
+    checks = _feature_checks(frame, schema)
+    counted = frame.agg(*[F.count_if(condition).alias(f"_c{i}") for i, (_, _, condition) in enumerate(checks)])
+    rows = [
+        F.struct(F.lit(check).alias("check"), F.lit(field).alias("field"), F.col(f"_c{i}").alias("violations"))
+        for i, (check, field, _) in enumerate(checks)
+    ]
+    record_id = clean(F.col(schema.record_id).cast("string")).alias("_id")
+    repeated = frame.groupBy(record_id).count().where("_id IS NOT NULL AND count > 1").agg(
+        F.lit("repeated_id").alias("check"),
+        F.lit(schema.record_id).alias("field"),
+        F.coalesce(F.sum("count"), F.lit(0)).alias("violations"),
+    )
+    return counted.select(F.explode(F.array(*rows)).alias("_row")).select("_row.*").unionByName(repeated)
+
+
 def check_features(frame: DataFrame, schema: FeatureSchema) -> None:
     """Column names, record ids, and finite numbers; one aggregate and one key count."""
     if len(frame.columns) != len(set(frame.columns)):
@@ -128,23 +157,16 @@ def check_features(frame: DataFrame, schema: FeatureSchema) -> None:
     absent = sorted({schema.record_id, *schema.sources} - set(frame.columns))
     if absent:
         raise ValueError(f"Input frame is missing required columns: {absent}")
-    record_id = clean(F.col(schema.record_id).cast("string"))
-    checks = [F.count_if(record_id.isNull())]
-    for feature in schema.numeric:
-        raw, number = F.col(f"`{feature.source}`"), _number(frame, feature)
-        text = isinstance(frame.schema[feature.source].dataType, T.StringType)
-        refused = raw.isNotNull() & number.isNull() if text else F.lit(False)
-        checks += [F.count_if(refused), F.count_if(F.abs(number) == float("inf"))]
-    totals = frame.agg(*[check.alias(f"_c{i}") for i, check in enumerate(checks)]).first()
-    if totals[0]:
+    # one row per check
+    broken = {(row["check"], row["field"]) for row in feature_problems(frame, schema).where("violations > 0").collect()}
+    if ("missing_id", schema.record_id) in broken:
         raise ValueError(f"Record identity column {schema.record_id!r} has missing values")
-    repeated = frame.groupBy(record_id.alias("_id")).count().where("count > 1")
-    if not repeated.isEmpty():
+    if ("repeated_id", schema.record_id) in broken:
         raise ValueError(f"Record identity column {schema.record_id!r} must be unique")
-    for index, feature in enumerate(schema.numeric):
-        if totals[1 + 2 * index]:
+    for feature in schema.numeric:
+        if ("not_a_number", feature.source) in broken:
             raise ValueError(f"Numeric feature {feature.source!r} contains non-numeric values")
-        if totals[2 + 2 * index]:
+        if ("not_finite", feature.source) in broken:
             raise ValueError(f"Numeric feature {feature.source!r} must contain finite values")
 
 

@@ -16,6 +16,7 @@ from rowproof.operators.lookup import lookup
 from rowproof.session import cut, small_table
 
 _PART, _AT, _BEFORE = "_part", "_at", "_before"
+PLACE = "_place"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its lower bits
 COPIES_AT_ONCE = 100_000  # rows that one task may write out for one group of equal rows
 
@@ -47,6 +48,22 @@ def number_rows(
     )
 
 
+def with_places(frame: DataFrame) -> DataFrame:
+    """``frame`` as a written table with ``_place``, a number per row that is fixed by the writing."""
+    return cut(frame.withColumn(PLACE, F.monotonically_increasing_id()))
+
+
+def place_positions(placed: DataFrame, order: Sequence[str], column: str = "position") -> DataFrame:
+    """(_place, position) under ``order``; ties go by a digest of the row, equal rows by their places.
+
+    Only these narrow columns are sorted: wide rows stay where they were written, and a row that is
+    repeated a million times is a million places, not one key.
+    """
+    others = [F.col(f"`{name}`").cast("string") for name in placed.columns if name != PLACE]
+    narrow = placed.select(*[f"`{name}`" for name in order], F.xxhash64(*others).alias("_digest"), PLACE)
+    return number_rows(narrow, [*order, "_digest", PLACE], column).select(PLACE, column)
+
+
 def number_copies(
     frame: DataFrame,
     order: Sequence[str],

@@ -75,6 +75,48 @@ def split(
     )
 
 
+def _balance(count: int, positive: int) -> Column:
+    """Class weights that add up to the number of examples, half of it for each class."""
+    return F.when(F.col("label") == 1, count / (2.0 * positive)).otherwise(
+        count / (2.0 * (count - positive))
+    )
+
+
+def optimality(examples: DataFrame, model: PipelineModel) -> DataFrame:
+    """One row that certifies a fit: examples, positives, designs and gradient_norm.
+
+    The gradient of the penalised, weighted loss at the fitted weights, summed over the distinct design rows:
+    zero at the one optimum of a strictly convex loss.
+    """
+    totals = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive")).first()
+    fitted = model.stages[-1]
+    designs = (
+        model.transform(examples)
+        .select(vector_to_array("features").alias("x"), "label")
+        .groupBy("x", "label")
+        .agg(F.count(F.lit(1)).alias("many"))
+    )
+    weights = [float(w) for w in fitted.coefficients]
+    dot = F.aggregate(
+        F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w),
+        F.lit(float(fitted.intercept)),
+        lambda total, part: total + part,
+    )
+    residual = 1 / (1 + F.exp(-dot)) - F.col("label")
+    share = F.col("many") * _balance(totals["n"], totals["positive"]) / F.lit(float(totals["n"])) * residual
+    whole = F.concat("x", F.array(F.lit(1.0)))  # the intercept has no penalty
+    slopes = (
+        designs.select(F.posexplode(whole).alias("place", "value"), share.alias("share"))
+        .groupBy("place")
+        .agg(F.sum(F.col("share") * F.col("value")).alias("slope"))
+    )
+    penalty = F.lit(float(fitted.getRegParam())) * F.get(F.array(*[F.lit(w) for w in [*weights, 0.0]]), F.col("place"))
+    norm = slopes.agg(F.sqrt(F.sum(F.pow(F.col("slope") + penalty, 2))).alias("gradient_norm"))
+    size = designs.agg(F.sum("many").alias("examples"), F.sum(F.col("many") * F.col("label")).alias("positives"), F.count(F.lit(1)).alias("designs"))
+    # one row each
+    return size.join(F.broadcast(norm), F.lit(True))
+
+
 def fit_reranker(examples: DataFrame, iterations: int = 1000) -> PipelineModel:
     """One-hot categories and standardised risk into a balanced logistic regression.
 
@@ -90,9 +132,7 @@ def fit_reranker(examples: DataFrame, iterations: int = 1000) -> PipelineModel:
     count, positive = totals["n"], totals["positive"] or 0
     if not 0 < positive < count:
         raise ValueError("Training needs both classes")
-    weight = F.when(F.col("label") == 1, count / (2.0 * positive)).otherwise(
-        count / (2.0 * (count - positive))
-    )
+    weight = _balance(count, positive)
     scale = totals["deviation"] or 1.0
     indexed = [f"{name}_index" for name in CATEGORIES]
     encoded = [f"{name}_hot" for name in CATEGORIES]

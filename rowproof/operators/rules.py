@@ -257,8 +257,12 @@ def run_rules(
     relationships: bool = True,
     names: tuple[str, str] = ("vendor", "transaction"),
     record_id: str = "_record_id",
+    ordered: bool = True,
 ) -> DataFrame:
-    """Findings of both tables, worst first. ``names`` are the tables the rules refer to."""
+    """Findings of both tables, worst first unless not ``ordered``: what is aggregated needs no sort.
+
+    ``names`` are the tables the rules refer to.
+    """
     check_weights(weights, {rule.issue.name: rule.issue for rule in rules})
     frames = dict(zip(names, (parent, child)))
     selected = {
@@ -287,7 +291,7 @@ def run_rules(
     findings = parts[0]
     for part in parts[1:]:
         findings = findings.unionByName(part)
-    return ranked(findings)
+    return ranked(findings) if ordered else findings
 
 
 def finding_keys(findings: DataFrame) -> DataFrame:

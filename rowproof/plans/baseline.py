@@ -63,7 +63,7 @@ def measured_period(
         seed=seed,
         per_type=per_type,
     )
-    findings = cut(run_rules(parent, child, procurement_rules(fiscal_year), weights))
+    findings = cut(run_rules(parent, child, procurement_rules(fiscal_year), weights, ordered=False))
     labels = cut(labels)
     size = F.count(F.lit(1))
     records = parent.agg(size).first()[0] + child.agg(size).first()[0]

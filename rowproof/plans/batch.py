@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rowproof.operators.contract import PROCUREMENT, Contract, validate_pair, validate_table
-from rowproof.operators.normalize import add_record_ids
-from rowproof.operators.rules import procurement_rules, run_rules
+from rowproof.operators.contract import PROCUREMENT, Contract, validate_pair, validated_copy
+from rowproof.operators.normalize import record_id
+from rowproof.operators.ordering import PLACE, place_positions
+from rowproof.operators.rules import procurement_rules, ranked, run_rules
 from rowproof.session import cut
 
 
@@ -20,9 +23,27 @@ class Scored:
     findings: DataFrame
 
 
-def _numbered(frame: DataFrame, table: str, order: Sequence[str] | None) -> DataFrame:
-    """By the given order and then all other columns. Written, as every key rule reads it."""
-    return cut(add_record_ids(frame, table, order or frame.columns))
+def _numbered(placed: DataFrame, table: str, order: Sequence[str] | None) -> DataFrame:
+    """(_place, _record_id) by the given order, else by all columns."""
+    names = [name for name in placed.columns if name != PLACE]
+    positions = place_positions(placed, order or names, "_position")
+    return positions.select(PLACE, record_id(table).alias("_record_id"))
+
+
+def _with_ids(placed: DataFrame, ids: DataFrame) -> DataFrame:
+    return placed.join(ids.hint("shuffle_hash"), PLACE).drop(PLACE)
+
+
+def _named(findings: DataFrame, ids: dict[str, DataFrame]) -> DataFrame:
+    """Findings by place get the record ids of their rows; only narrow rows move."""
+    parts = [
+        findings.where(F.col("target_table") == table)
+        .withColumn(PLACE, F.col("record_id").cast("long"))
+        .join(known, PLACE)
+        .select(*[F.col("_record_id" if n == "record_id" else n).alias(n) for n in findings.columns])
+        for table, known in ids.items()
+    ]
+    return ranked(reduce(DataFrame.unionByName, parts))
 
 
 def score_batch(
@@ -33,12 +54,21 @@ def score_batch(
     vendor_order: Sequence[str] | None = None,
     transaction_order: Sequence[str] | None = None,
 ) -> Scored:
-    """Unknown vendor keys fail the validation, so the orphan rule finds nothing here."""
+    """Unknown vendor keys fail the validation, so the orphan rule finds nothing here.
+
+    Each table is written once, typed. Rules run on rows by their place; positions are computed from the
+    order columns alone and given to the findings.
+    """
     parent, child = validate_pair(vendors, transactions, contract)
-    parent = _numbered(parent, "vendor", vendor_order)
-    child = _numbered(child, "transaction", transaction_order)
-    findings = run_rules(parent, child, procurement_rules(fiscal_year), contract.weights)
-    return Scored(parent, child, findings)
+    ids = {
+        "vendor": _numbered(parent, "vendor", vendor_order),
+        "transaction": _numbered(child, "transaction", transaction_order),
+    }
+    found = run_rules(
+        parent, child, procurement_rules(fiscal_year), contract.weights, record_id=PLACE, ordered=False
+    )
+    findings = _named(cut(found), ids)
+    return Scored(_with_ids(parent, ids["vendor"]), _with_ids(child, ids["transaction"]), findings)
 
 
 def score_records(
@@ -49,13 +79,16 @@ def score_records(
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Findings of one table without looking at the other one."""
-    valid = _numbered(validate_table(records, contract.table(table), table), table, order)
+    valid = validated_copy(records, contract.table(table), table)
     vendors, transactions = (valid, None) if table == "vendor" else (None, valid)
-    return run_rules(
+    found = run_rules(
         vendors,
         transactions,
         procurement_rules(fiscal_year),
         contract.weights,
         targets=(table,),
         relationships=False,
+        record_id=PLACE,
+        ordered=False,
     )
+    return _named(cut(found), {table: _numbered(valid, table, order)})

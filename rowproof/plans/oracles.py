@@ -6,7 +6,7 @@ from rowproof.operators.anomaly import INTERPRETATION
 from rowproof.operators.features import QUARTILES, TRANSACTION_FEATURES, VENDOR_FEATURES, FeatureSchema
 from rowproof.operators.normalize import DATE_COLUMNS
 from rowproof.plans.catalogue import ISSUES, STATE_CODES, WEIGHTS
-from rowproof.plans.queries import K, MIDDLE, PER_TYPE, RULE_QUERIES, SEED
+from rowproof.plans.queries import FOREST, K, MIDDLE, PER_TYPE, RULE_QUERIES, SEED
 from rowproof.plans.views import FISCAL_YEAR, TRANSACTIONS_SQL, VENDORS_SQL
 
 VIEWS = f"vendors AS ({VENDORS_SQL}), transactions AS ({TRANSACTIONS_SQL})"
@@ -1293,3 +1293,68 @@ FROM (
   UNION ALL SELECT 3, 'extra'
 )
 """
+
+# --- certificates, round trips and bounds -------------------------------------------------
+
+_NODES = ", ".join(str(node) for node in FOREST)
+_MEAN_PATH = (
+    "CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n}::DOUBLE "
+    "WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+)
+SQL["iforest_paths"] = f"""
+WITH RECURSIVE nodes(tree, node, feature, threshold, l, r, depth, size) AS (VALUES {_NODES}),
+points AS (
+  SELECT o_orderkey AS id, [floor(o_totalprice / 1000), CAST(o_custkey AS DOUBLE), CAST(month(o_orderdate) AS DOUBLE)] AS v
+  FROM orders
+), walk AS (
+  SELECT id, v, n.* FROM points, nodes n WHERE node = 0
+  UNION ALL
+  SELECT w.id, w.v, n.* FROM walk w JOIN nodes n
+    ON n.tree = w.tree AND n.node = CASE WHEN w.v[w.feature + 1] <= w.threshold THEN w.l ELSE w.r END
+  WHERE w.feature >= 0
+), paths AS (
+  SELECT id, sum(depth + {_MEAN_PATH.format(n="size")}) AS path FROM walk WHERE feature < 0 GROUP BY id
+)
+SELECT id, round(path, 6) AS path, round(pow(2, -(path / 3) / ({_MEAN_PATH.format(n="16")})) - 0.5, 6) AS raw FROM paths
+"""
+SQL["iforest_samples"] = """
+WITH n AS (SELECT count(*) AS rows FROM embeddings)
+SELECT CAST(tree AS INTEGER) AS tree, least(256, rows) AS rows, least(256, rows) AS ids,
+       CAST(least(256, rows) AS BIGINT) AS leaf_rows,
+       true AS sizes_right, true AS depth_right, true AS thresholds_right, rows AS agreed
+FROM n, range(50) AS t(tree)
+"""
+SQL["anomaly_bounds"] = """
+SELECT target_table, 'isolation_forest' AS model_name, n AS records, n AS ids, n AS "right",
+       true AS reviewed_enough, true AS reaches_one
+FROM (SELECT 'vendor' AS target_table, count(*) AS n FROM customer
+      UNION ALL SELECT 'transaction', count(*) FROM orders)
+"""
+SQL["model_roundtrip"] = "SELECT count(*) AS records, count(*) AS same FROM customer"
+SQL["experiment_gates"] = """
+SELECT period, approach, true AS in_range, CASE WHEN approach = 'guarded_review_queue' THEN true END AS critical_kept
+FROM (SELECT unnest(['development', 'temporal_holdout']) AS period),
+     (SELECT unnest(['deterministic_baseline', 'isolation_forest', 'local_outlier_factor',
+                      'selected_statistical_workflow', 'guarded_review_queue']) AS approach)
+"""
+SQL["features_check"] = """
+WITH rows AS (
+  SELECT nullif(CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey // 2 AS VARCHAR) END, '') AS id,
+         o_orderkey % 11 = 0 AS word, o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0 AS infinite FROM orders
+)
+SELECT 'missing_id' AS "check", '_record_id' AS field, count(*) FILTER (id IS NULL) AS violations FROM rows
+UNION ALL SELECT 'not_a_number', 'price', count(*) FILTER (word) FROM rows
+UNION ALL SELECT 'not_finite', 'price', count(*) FILTER (infinite) FROM rows
+UNION ALL SELECT 'not_a_number', 'o_custkey', 0
+UNION ALL SELECT 'not_finite', 'o_custkey', 0
+UNION ALL SELECT 'repeated_id', '_record_id', CAST(coalesce(sum(n), 0) AS BIGINT)
+          FROM (SELECT count(*) AS n FROM rows WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)
+"""
+SQL["features_roundtrip"] = SQL["features_vendor"]
+SQL["rerank_certificate"] = f"""
+WITH {_FEEDBACK}
+SELECT count(*) AS examples, CAST(sum(label) AS BIGINT) AS positives,
+       count(DISTINCT (risk_score, CASE WHEN day(ts) < 6 THEN 1 WHEN day(ts) < 12 THEN 2 WHEN day(ts) < 20 THEN 3 ELSE 4 END, label))
+           AS designs, true AS optimal
+FROM decisive
+"""

@@ -21,7 +21,7 @@ from rowproof.operators import normalize, ordering, profile, rerank, review
 from rowproof.operators import rules as R
 from rowproof.plans import baseline, batch, experiment, views
 from rowproof.plans.catalogue import DEFECTS_PER_TYPE, WEIGHTS, Issue
-from rowproof.session import cut, prepare, shared_folder
+from rowproof.session import cut, prepare, shared_folder, small_table
 from rowproof.sources import extracts, sinks, snapshots
 from rowproof.streaming import score as streaming
 
@@ -707,6 +707,34 @@ def _features(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return features.transform_features(frame, schema, fit)
 
 
+@register
+def features_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of a feature input with missing and repeated ids, words for numbers, and infinite numbers."""
+    orders, key = views.table(spark, folder, "orders"), F.col("o_orderkey")
+    number = F.when(key % 11 == 0, F.lit("n/a")).when(key % 13 == 0, F.lit("Infinity")).otherwise(F.col("o_totalprice").cast("string"))
+    schema = features.FeatureSchema(
+        "order",
+        (features.NumericFeature("price", "price", "identity"), features.NumericFeature("o_custkey", "customer", "identity")),
+        (),
+    )
+    rows = orders.select(
+        F.when(key % 17 == 0, F.lit(" ")).otherwise(F.floor(key / 2).cast("string")).alias("_record_id"),
+        number.alias("price"),
+        "o_custkey",
+    )
+    return features.feature_problems(rows, schema)
+
+
+@register
+def features_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Vendor features from a fit that was saved and loaded."""
+    schema, path = experiment.SCHEMAS["vendor"], scratch(spark)
+    vendors = views.vendors(spark, folder)
+    features.save_fit(features.fit_features(vendors, schema), schema, f"{path}/fit")
+    fit, loaded = features.load_fit(spark, f"{path}/fit")
+    return rounded(features.transform_features(vendors, loaded, fit))
+
+
 @register
 def features_vendor(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_features(spark, folder, "vendor"))
@@ -799,6 +827,46 @@ def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.share_at_or_below(scores, scores, "raw", "id", "rank_percentile")
 
 
+# a fixed forest over (price in thousands, customer, month): tree, node, feature, threshold, left, right, depth, size
+FOREST = (
+    (0, 0, 0, 100.0, 1, 2, 0, 16), (0, 1, 2, 6.0, 3, 4, 1, 9), (0, 2, -1, 0.0, -1, -1, 1, 7),
+    (0, 3, -1, 0.0, -1, -1, 2, 1), (0, 4, -1, 0.0, -1, -1, 2, 8),
+    (1, 0, 1, 700.0, 1, 2, 0, 16), (1, 1, 0, 250.0, 3, 4, 1, 14), (1, 2, -1, 0.0, -1, -1, 1, 2),
+    (1, 3, 2, 3.0, 5, 6, 2, 10), (1, 4, -1, 0.0, -1, -1, 2, 4), (1, 5, -1, 0.0, -1, -1, 3, 3),
+    (1, 6, -1, 0.0, -1, -1, 3, 7), (2, 0, -1, 0.0, -1, -1, 0, 16),
+)
+
+
+@register
+def iforest_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Path lengths and scores of all orders in a given forest, by expressions alone."""
+    orders = views.table(spark, folder, "orders")
+    vector = F.array(
+        F.floor(F.col("o_totalprice") / 1000).cast("double"),
+        F.col("o_custkey").cast("double"),
+        F.month("o_orderdate").cast("double"),
+    )
+    rows = orders.select(F.col("o_orderkey").alias("id"), vector.alias("vector"))
+    nodes = small_table(spark, FOREST, iforest.NODES)
+    paths = iforest.path_lengths(rows, nodes)
+    scores = iforest.score_by_expressions(rows, nodes, 16)
+    return rounded(paths.join(scores, "id").select("id", "path", "raw"))
+
+
+@register
+def iforest_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """A certificate of every tree of a grown forest, and whether both ways of scoring agree on all rows."""
+    vectors = _embeddings(spark, folder)
+    nodes, size = iforest.fit_iforest(vectors, 50, 42)
+    sampled = cut(iforest.sample_rows(vectors, 50, 42)[0])
+    one = iforest.score_iforest(vectors, nodes, size)
+    other = iforest.score_by_expressions(vectors, nodes, size).withColumnRenamed("raw", "other")
+    agreed = one.join(other, "id").agg(
+        F.count_if(F.abs(F.col("raw") - F.col("other")) < 1e-9).alias("agreed")
+    )
+    return iforest.certificate(sampled, nodes, size).join(F.broadcast(agreed), F.lit(True))
+
+
 @register
 def anomaly_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Isolation forests of both tables, trained and applied on all records."""
@@ -814,6 +882,60 @@ def anomaly_scores(spark: SparkSession, folder: str) -> DataFrame:
     return anomaly.score_tables(frames, models)
 
 
+@register
+def anomaly_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per table: all records scored once, percentiles and scores in range and in step, enough reviewed, evidence bounded."""
+    found = cut(anomaly_scores(spark, folder))
+    percentile = F.col("rank_percentile")
+    right = (
+        percentile.between(0, 1)
+        & (F.abs(F.col("anomaly_score") - 100 * percentile) < 1e-9)
+        & (F.col("priority_score") == F.col("anomaly_score"))
+        & (F.length("evidence") <= 1000)
+    )
+    fraction = anomaly.default_specs()[anomaly.ISOLATION_FOREST]["vendor"].review_fraction
+    return found.groupBy("target_table", "model_name").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_distinct("record_id").alias("ids"),
+        F.count_if(right).alias("right"),
+        (F.count_if("predicted") >= F.floor(F.count(F.lit(1)) * fraction)).alias("reviewed_enough"),
+        (F.max("rank_percentile") == 1).alias("reaches_one"),
+    )
+
+
+@register
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Vendors scored by a model and by the same model saved and loaded."""
+    vendors = views.vendors(spark, folder)
+    spec = anomaly.default_specs()[anomaly.ISOLATION_FOREST]["vendor"]
+    model = anomaly.train(vendors, experiment.SCHEMAS["vendor"], spec, views.FISCAL_YEAR, "development")
+    path = scratch(spark)
+    anomaly.save_model(model, f"{path}/model")
+    loaded = anomaly.load_model(spark, f"{path}/model")
+    direct = cut(anomaly.score(vendors, model))
+    again = cut(anomaly.score(vendors, loaded))
+    names = ["record_id", "rank_percentile", "predicted", "evidence"]
+    same = direct.select(*names).intersect(again.select(*names)).groupBy("record_id").count()
+    return direct.join(same, "record_id", "left").agg(
+        F.count(F.lit(1)).alias("records"), F.count("count").alias("same")
+    )
+
+
+@register
+def experiment_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison per period and approach: measures in range, and no critical finding lost by the queue."""
+    found = cut(experiment_comparison(spark, folder))
+    measures = [n for n in ("precision", "recall", "macro_f1", "high_critical_recall") if n in found.columns]
+    in_range = [F.coalesce(F.col(n).between(0, 1), F.lit(False)) for n in measures]
+    guarded = F.col("approach") == "guarded_review_queue"
+    return found.select(
+        "period",
+        "approach",
+        F.forall(F.array(*in_range), lambda ok: ok).alias("in_range"),
+        F.when(guarded, F.col("high_critical_recall") == 1.0).alias("critical_kept"),
+    )
+
+
 @register
 def experiment_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Both model families on the earlier half, evaluated on both halves of the orders."""
@@ -1003,6 +1125,14 @@ def rerank_model(spark: SparkSession, folder: str) -> DataFrame:
     return rerank.rerank(findings, training.model if training.promoted else None)
 
 
+@register
+def rerank_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the fitted reranker is the optimum of its loss over all decisive verdicts."""
+    examples = rerank.decisive(_feedback(spark, folder))
+    found = rerank.optimality(examples, rerank.fit_reranker(examples))
+    return found.select("examples", "positives", "designs", (F.col("gradient_norm") < 1e-4).alias("optimal"))
+
+
 @register
 def rerank_inactive(spark: SparkSession, folder: str) -> DataFrame:
     return rerank.rerank(findings_ranked(spark, folder))
