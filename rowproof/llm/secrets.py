@@ -9,7 +9,8 @@ whole column by a linear-time pattern decides which texts are looked at closely,
 become Python strings.
 
 Words are ranked by two lists: the whole words of a public tokenizer's vocabulary in its order, and the
-``MOST_WORDS`` words that stand in most documents of the corpus (``word_ranks`` counts all of it, leaving out what
+``MOST_WORDS`` words that stand in most documents of the corpus, without the last ones if they tie beyond that
+number (``word_ranks`` counts all of it, leaving out what
 stands in a credential context, so that a secret copied a thousand times does not become a word). A word of both
 has its better rank. The two lists are what is broadcast: some ``MOST_WORDS`` plus the vocabulary's words.
 
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from rowproof.llm.blocks import raw_texts, row_ranges
 from rowproof.llm.common import with_fields
 from rowproof.llm.packing import _tokenizer, tokenizer_path
+from rowproof.session import cut
 
 # The patterns of the scan, and the order of kinds.
 KINDS = ("assign", "access", "hex", "guess")
@@ -119,18 +121,26 @@ def word_ranks(
                     yield flush()
         yield flush()
 
-    counted = (
+    counted = cut(
         documents.select(F.col(f"`{text}`").cast("string"))
         .mapInArrow(count, "word binary, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= LEAST_DOCUMENTS)
-        .orderBy(F.col("n").desc(), "word")
-        .limit(most)
     )
+    # how many words stand in n documents: few different n, as large ones are rare
+    least, taken = None, 0
+    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most).collect():
+        if taken + row["words"] > most:
+            break
+        least, taken = row["n"], taken + row["words"]
+    found = []
+    if least is not None:  # at most `most` words, so neither the driver nor a task gets more
+        found = counted.where(F.col("n") >= least).collect()
+        found.sort(key=lambda row: (-row["n"], bytes(row["word"])))
     ranks = dict(known_words(path))
-    for place, row in enumerate(counted.select("word").collect(), 1):  # at most `most` words
-        word = bytes(row[0]).decode("utf-8", "replace").lower()
+    for place, row in enumerate(found, 1):
+        word = bytes(row["word"]).decode("utf-8", "replace").lower()
         ranks[word] = min(place, ranks.get(word, place))
     return ranks
 
