@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,65 +133,39 @@ def coerced(name: str, kind: str, source: T.DataType) -> Column:
     return _as_number(value, source)
 
 
-def _typed_with_checks(
-    frame: DataFrame, contract: TableContract
-) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(columns in declared types and a flag per check, [(check, column)] in the order they are reported).
-
-    Every column is coerced once, in the projection; the flags look at what came out.
-    """
-    kinds = {column.name: column.kind for column in contract.columns}
-    typed = frame.select(
-        *[F.col(f"`{name}`").alias(f"_raw_{name}") for name in frame.columns if name in kinds],
-        *[
-            coerced(name, kinds[name], frame.schema[name].dataType).alias(name)
-            if name in kinds
-            else F.col(f"`{name}`")
-            for name in frame.columns
-        ],
-    )
-    checks: list[tuple[str, str]] = []
-    flags: list[Column] = []
+def _failed_checks(frame: DataFrame, contract: TableContract) -> list[tuple[str, str, Column]]:
+    """(check, column, condition of a violating row), in the order they are reported."""
+    checks: list[tuple[str, str, Column]] = []
     for column in contract.columns:
         if column.name not in frame.columns:
             continue
         source = frame.schema[column.name].dataType
-        raw, value = F.col(f"`_raw_{column.name}`"), F.col(f"`{column.name}`")
+        value = F.col(f"`{column.name}`")
+        typed = coerced(column.name, column.kind, source)
         if column.kind == "integer" and not isinstance(source, T.IntegralType):
-            checks.append(("fraction", column.name))
-            # digits as they stand have none; only what is written otherwise is read again
-            whole = raw.rlike(r"^\s*[+-]?[0-9]+\s*$") if isinstance(source, T.StringType) else F.lit(False)
-            flags.append(F.when(raw.isNull() | whole, False).otherwise(_as_number(raw, source) % 1 != 0))
+            checks.append(("fraction", column.name, _as_number(value, source) % 1 != 0))
         if column.kind != "string":
-            checks.append(("invalid", column.name))
-            flags.append(raw.isNotNull() & value.isNull())
+            checks.append(("invalid", column.name, value.isNotNull() & typed.isNull()))
         if not column.nullable:
-            checks.append(("missing", column.name))
-            flags.append(value.isNull())
-    checks.append(("blank_key", contract.business_key))
-    blank = strip(F.col(f"`_raw_{contract.business_key}`").cast("string"))
-    flags.append(blank.isNull() | (blank == ""))
-    flagged = typed.select(
-        *[f"`{name}`" for name in frame.columns], *[flag.alias(f"_c{i}") for i, flag in enumerate(flags)]
-    )
-    return flagged, checks
-
-
-def _counts(checks: Sequence[tuple[str, str]]) -> list[Column]:
-    return [F.count_if(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(checks))]
+            checks.append(("missing", column.name, typed.isNull()))
+    blank = strip(F.col(f"`{contract.business_key}`").cast("string"))
+    checks.append(("blank_key", contract.business_key, blank.isNull() | (blank == "")))
+    return checks
 
 
 def violation_counts(frame: DataFrame, contract: TableContract) -> DataFrame:
     """One row per check: how many rows break it. One aggregate over one scan."""
-    flagged, checks = _typed_with_checks(frame, contract)
-    counted = flagged.agg(*_counts(checks))
+    checks = _failed_checks(frame, contract)
+    counted = frame.agg(
+        *[F.count_if(condition).alias(f"_c{i}") for i, (_, _, condition) in enumerate(checks)]
+    )
     pairs = [
         F.struct(
             F.lit(check).alias("check"),
             F.lit(name).alias("field"),
             F.col(f"_c{i}").alias("violations"),
         )
-        for i, (check, name) in enumerate(checks)
+        for i, (check, name, _) in enumerate(checks)
     ]
     return counted.select(F.explode(F.array(*pairs)).alias("_row")).select("_row.*")
 
@@ -218,27 +192,23 @@ def coerce_table(frame: DataFrame, contract: TableContract) -> DataFrame:
     )
 
 
-def _check_columns(frame: DataFrame, contract: TableContract, table: str) -> None:
+def validate_table(frame: DataFrame, contract: TableContract, table: str) -> DataFrame:
+    """The coerced table, or the first broken rule as ``ValueError``."""
     try:
         check_names(frame.columns, contract, table)
     except ValueError:
         if not frame.columns or frame.isEmpty():
             raise ValueError(f"{table.title()} input must contain at least one record") from None
         raise
-
-
-def _report(
-    frame: DataFrame,
-    contract: TableContract,
-    table: str,
-    checks: Sequence[tuple[str, str]],
-    totals: dict[str, int],
-) -> None:
-    """Raise the first broken rule; examples are fetched only then."""
+    checks = _failed_checks(frame, contract)
+    totals = frame.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(condition).alias(f"_c{i}") for i, (_, _, condition) in enumerate(checks)],
+    ).first()
     if not totals["_rows"]:
         raise ValueError(f"{table.title()} input must contain at least one record")
     kinds = {column.name: column.kind for column in contract.columns}
-    for i, (check, name) in enumerate(checks):
+    for i, (check, name, condition) in enumerate(checks):
         if not totals[f"_c{i}"]:
             continue
         if check == "fraction":
@@ -247,32 +217,16 @@ def _report(
             raise ValueError(f"{table}.{name} cannot contain missing values")
         if check == "blank_key":
             raise ValueError(f"{table}.{name} cannot contain blank values")
-        value = F.col(f"`{name}`")
-        typed = coerced(name, kinds[name], frame.schema[name].dataType)
-        rows = frame.where(value.isNotNull() & typed.isNull()).select(value.cast("string")).limit(3).collect()
+        rows = frame.where(condition).select(F.col(f"`{name}`").cast("string")).limit(3).collect()
         raise ValueError(
             f"{table}.{name} contains invalid {kinds[name]} values: {[row[0] for row in rows]}"
         )
-
-
-def validate_table(frame: DataFrame, contract: TableContract, table: str) -> DataFrame:
-    """The coerced table, or the first broken rule as ``ValueError``."""
-    _check_columns(frame, contract, table)
-    flagged, checks = _typed_with_checks(frame, contract)
-    totals = flagged.agg(F.count(F.lit(1)).alias("_rows"), *_counts(checks)).first()
-    _report(frame, contract, table, checks, totals.asDict())
     return coerce_table(frame, contract)
 
 
 def validated_copy(frame: DataFrame, contract: TableContract, table: str) -> DataFrame:
-    """The coerced table, written with a ``_place`` per row: parsing, checks and copy are one pass."""
-    _check_columns(frame, contract, table)
-    flagged, checks = _typed_with_checks(frame, contract)
-    seen = Observation()
-    observed = flagged.observe(seen, F.count(F.lit(1)).alias("_rows"), *_counts(checks))
-    copy = with_places(observed.select(*[f"`{name}`" for name in frame.columns]))
-    _report(frame, contract, table, checks, seen.get)
-    return copy
+    """The coerced table, written with a ``_place`` per row."""
+    return with_places(validate_table(frame, contract, table))
 
 
 def unknown_keys(

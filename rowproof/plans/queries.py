@@ -893,12 +893,18 @@ def anomaly_bounds(spark: SparkSession, folder: str) -> DataFrame:
         & (F.col("priority_score") == F.col("anomaly_score"))
         & (F.length("evidence") <= 1000)
     )
-    fraction = anomaly.default_specs()[anomaly.ISOLATION_FOREST]["vendor"].review_fraction
+    specs = anomaly.default_specs()[anomaly.ISOLATION_FOREST]
+    fraction = F.when(F.col("target_table") == "vendor", specs["vendor"].review_fraction).otherwise(
+        specs["transaction"].review_fraction
+    )
+    size = F.count(F.lit(1))
+    # the threshold is the score at place ceil((n - 1) * (1 - fraction)); it and all above are reviewed
+    least = size - F.ceil((size - 1) * (1 - F.first(fraction)))
     return found.groupBy("target_table", "model_name").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_distinct("record_id").alias("ids"),
         F.count_if(right).alias("right"),
-        (F.count_if("predicted") >= F.floor(F.count(F.lit(1)) * fraction)).alias("reviewed_enough"),
+        (F.count_if("predicted") >= least).alias("reviewed_enough"),
         (F.max("rank_percentile") == 1).alias("reaches_one"),
     )
 
