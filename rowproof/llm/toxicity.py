@@ -1,10 +1,15 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are words and the first 6 and 8 bytes of longer words (inflected insults share a stem), hashed into
-2^18 buckets. The terms that differ most between toxic and other training documents (chi-square over
-the training rows, on the executors) become the features. The machine, w0 + w·x + pairs of
-factors, is fitted on a bounded sample of the labelled rows: at most ``MOST_ROWS``, chosen by a hash of the
-id. Every document is scored, with its whole text, in one pass without a shuffle.
+2^18 buckets. Every bucket that occurs is judged twice. Alone: those that differ between toxic and other training
+documents (chi-square over all training rows, on the executors). In pairs: those that explain, together with other
+buckets, what a machine of the first kind leaves unexplained, though each may be neutral by itself (truncated power
+iterations over the matrix of pairs, which is never built). The machine, w0 + w·x + pairs of factors, is fitted
+on both kinds.
+
+The sample for the fit is bounded: at most ``MOST_ROWS`` distinct (id, text), by a hash of both, and at most
+``MOST_NUMBERS`` terms in all; equal rows are one with their number as weight. Every document is scored, with its whole
+text, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no feature and get the base rate as score; labels that are null, or
 whose documents do not exist, are ignored; with several labels for one id any 1 makes it toxic; repeated
@@ -25,10 +30,13 @@ from pyspark.sql import types as T
 
 from rowproof.llm.blocks import word_blocks
 from rowproof.llm.common import broadcast_if_small, with_fields
+from rowproof.session import cut
 
 BUCKETS = 1 << 18
-FEATURES = 1024
-MOST_ROWS = 16_000
+FEATURES, PAIRED = 1024, 256  # most buckets chosen alone, in pairs
+CHI_SQUARE, DEVIATIONS = 10.8, 4.0  # what chance rarely reaches: 1 in 1,000, 1 in 16,000
+MOST_ROWS, MOST_NUMBERS = 16_000, 1 << 23
+PROBES, ROUNDS = 8, 5
 FACTORS = 8
 STEPS, RATE, DECAY = 400, 0.03, 0.002
 THRESHOLD = 0.3
@@ -47,14 +55,40 @@ def _terms(words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _features(words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) with distinct (row, feature); value log2(1 + count), at most 3."""
+def _bags(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) with distinct (row, bucket), by row; value log2(1 + count)."""
     rows, buckets = _terms(words)
-    feature = place[buckets]
-    used = feature >= 0
-    pair = rows[used] * FEATURES + feature[used]
-    some, count = np.unique(pair, return_counts=True)
-    return some // FEATURES, some % FEATURES, np.minimum(np.log2(1.0 + count), 3.0)
+    some, count = np.unique(rows * BUCKETS + buckets, return_counts=True)
+    return some // BUCKETS, some % BUCKETS, np.log2(1.0 + count)
+
+
+def paired_buckets(
+    row: np.ndarray, bucket: np.ndarray, value: np.ndarray, off: np.ndarray, spread: np.ndarray, most: int = PAIRED
+) -> np.ndarray:
+    """The buckets whose products with others go with the residuals ``off`` (of variance ``spread``) of the rows.
+
+    A probe holds a number per bucket. Each round a bucket's new number is the sum, over its rows, of the
+    residual times its value times the probe's sum over the row's other buckets; only the ``most`` numbers farthest from
+    chance stay. A pair that matters reinforces itself, noise does not.
+    """
+    random = np.random.default_rng(17)
+    documents = np.bincount(bucket, minlength=BUCKETS)
+    few = 1 + 10 / np.maximum(documents, 1)  # sums over few rows vary more than their variance tells
+    farthest = np.zeros(BUCKETS)
+    for _ in range(PROBES):
+        probe = random.normal(size=BUCKETS)
+        for _ in range(ROUNDS):
+            own = probe[bucket] * value
+            rest = value * (np.bincount(row, weights=own, minlength=len(off))[row] - own)
+            total = np.bincount(bucket, weights=off[row] * rest, minlength=BUCKETS)
+            chance = np.bincount(bucket, weights=spread[row] * rest * rest, minlength=BUCKETS)
+            far = np.abs(total) / np.sqrt(chance * few + 1e-12)
+            kept = np.lexsort((np.arange(BUCKETS), -far))[:most]
+            probe = np.zeros(BUCKETS)
+            probe[kept] = total[kept] / max(np.abs(total[kept]).max(), 1e-12)
+        farthest = np.maximum(farthest, far)
+    best = np.lexsort((np.arange(BUCKETS), -farthest))[:most]
+    return best[farthest[best] >= DEVIATIONS]
 
 
 @dataclass
@@ -67,9 +101,10 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> FactorizationMachine:
-        """Adam on the logistic loss of all rows of the sample; deterministic."""
-        rate = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 0.01
+    def fit(cls, place: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> FactorizationMachine:
+        """Adam on the weighted logistic loss of all rows of the sample; deterministic."""
+        share = (weight / max(weight.sum(), 1)).astype(np.float32)
+        rate = float(np.clip(share @ y, 1e-4, 1 - 1e-4)) if len(y) else 0.01
         start = float(np.log(rate / (1 - rate)))
         size = x.shape[1]
         random = np.random.default_rng(17)
@@ -85,7 +120,7 @@ class FactorizationMachine:
                 v = value["v"]
                 mixed = x @ v
                 logit = value["b"] + x @ value["w"] + 0.5 * ((mixed**2).sum(1) - (squared @ (v * v)).sum(1))
-                off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+                off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * share
                 slope = {
                     "b": np.array([off.sum()], np.float32),
                     "w": x.T @ off + DECAY * value["w"] / 10,
@@ -98,18 +133,31 @@ class FactorizationMachine:
                     p -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         return cls(place, float(value["b"][0]), value["w"], value["v"])
 
-    def scores(self, words, rows: int) -> np.ndarray:
-        row, feature, amount = _features(words, self.place)
-        linear = np.bincount(row, weights=self.weights[feature] * amount, minlength=rows)
+    def scores(self, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of ``rows`` texts from their bags."""
+        feature = self.place[bucket]
+        used = feature >= 0
+        row, feature, value = row[used], feature[used], value[used]
+        linear = np.bincount(row, weights=self.weights[feature] * value, minlength=rows)
         pairs = np.zeros(rows)
         for factor in range(FACTORS):
-            part = self.factors[feature, factor] * amount
+            part = self.factors[feature, factor] * value
             pairs += np.bincount(row, weights=part, minlength=rows) ** 2
             pairs -= np.bincount(row, weights=part * part, minlength=rows)
         logit = np.clip(self.bias + linear + 0.5 * pairs, -30, 30)
         return 1 / (1 + np.exp(-logit))
 
 
+def _fit_on(chosen, row, bucket, value, y, weight) -> FactorizationMachine:
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
+    feature = place[bucket]
+    used = feature >= 0
+    x[row[used], feature[used]] = value[used]
+    return FactorizationMachine.fit(place, x, y, weight)
+
+
 def train(
     documents: DataFrame,
     labels: DataFrame,
@@ -119,7 +167,7 @@ def train(
     label: str = "toxic",
     most_rows: int = MOST_ROWS,
 ) -> FactorizationMachine:
-    """Select features over all training rows, then fit on at most about ``most_rows`` of them."""
+    """Judge buckets alone over all training rows, in pairs and fit on a sample of at most ``most_rows``."""
     spark = documents.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(
         (F.max(label) > 0).cast("int").alias("_y")
@@ -129,7 +177,7 @@ def train(
         documents.where(training)
         .select(F.col(id_column), F.col(text).alias("_text"))
         .join(marks, id_column)
-        .select(F.col(id_column).cast("string").alias("_id"), "_text", "_y")
+        .select(F.xxhash64(F.col(id_column).cast("string"), "_text").alias("_key"), "_text", "_y")
     )
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,39 +207,88 @@ def train(
     total = bucket == -1
     n0, n1 = clean[total].sum(), toxic[total].sum()
     bucket, clean, toxic = bucket[~total].astype(np.int64), clean[~total], toxic[~total]
-    place = np.full(BUCKETS, -1, dtype=np.int64)
+    alone = bucket[:0]
     if n0 and n1:
         n = n0 + n1
         with_term, odds = clean + toxic, toxic * n0 - clean * n1
         chi = n * odds**2 / np.maximum(n0 * n1 * with_term * (n - with_term), 1)
         order = np.lexsort((bucket, -chi))[:FEATURES]
-        place[bucket[order]] = np.arange(len(order))
+        alone = bucket[order[chi[order] >= CHI_SQUARE]]
+
     share = min(1.0, most_rows / max(n0 + n1, 1))
-    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    some = rows.where(F.pmod("_key", F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bag of every key at its first sight in the task, and how often it came again."""
+        known: dict[int, int] = {}
+        names = ["key", "y", "n", "buckets", "amounts"]
+        kinds = {}
         for batch in batches:
-            for start, end, words in word_blocks(batch.column("_text")):
-                row, feature, amount = _features(words, place)
-                first = np.searchsorted(row, np.arange(end - start + 1)).astype(np.int32)
+            keys = batch.column("_key").to_pylist()
+            fresh = []
+            for at, key in enumerate(keys):
+                if key in known:
+                    known[key] += 1
+                else:
+                    known[key] = 0
+                    kinds[key] = batch.column("_y")[at].as_py()
+                    fresh.append(at)
+            part = batch.take(pa.array(fresh, pa.int32()))
+            for start, end, words in word_blocks(part.column("_text")):
+                row, bucket, value = _bags(words)
+                first = pa.array(np.searchsorted(row, np.arange(end - start + 1)).astype(np.int32))
+                size = end - start
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_id").slice(start, end - start),
-                        batch.column("_y").slice(start, end - start),
-                        pa.ListArray.from_arrays(pa.array(first), pa.array(feature.astype(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(first), pa.array(amount)),
+                        part.column("_key").slice(start, size),
+                        part.column("_y").slice(start, size),
+                        pa.array(np.ones(size, np.int64)),
+                        pa.ListArray.from_arrays(first, pa.array(bucket.astype(np.int32))),
+                        pa.ListArray.from_arrays(first, pa.array(value.astype(np.float32))),
                     ],
-                    ["id", "y", "feature", "amount"],
+                    names,
                 )
+        again = [key for key, n in known.items() if n]
+        none = len(again)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(again, pa.int64()),
+                pa.array([kinds[key] for key in again], pa.int32()),
+                pa.array([known[key] for key in again], pa.int64()),
+                pa.nulls(none, pa.list_(pa.int32())),
+                pa.nulls(none, pa.list_(pa.float32())),
+            ],
+            names,
+        )
+
+    sample = cut(
+        some.mapInArrow(bags, "key long, y int, n long, buckets array<int>, amounts array<float>")
+        .groupBy("key")
+        .agg(
+            F.max("y").alias("y"),
+            F.sum("n").alias("n"),
+            F.first("buckets", ignorenulls=True).alias("buckets"),
+            F.first("amounts", ignorenulls=True).alias("amounts"),
+        )
+    )
+    # about most_rows rows; those in front whose terms fit
+    sizes = sample.select("key", F.size("buckets").alias("size")).orderBy("key").limit(most_rows).toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy()), MOST_NUMBERS, side="right"))
+    last = sizes.column("key")[fits - 1].as_py() if fits else None
+    taken = sample.where(F.col("key") <= F.lit(last)).toArrow().sort_by("key").combine_chunks()
+    y, weight = (taken.column(i).to_numpy().astype(np.float32) for i in (1, 2))
+    lists = taken.column("buckets").combine_chunks() if taken.num_rows else pa.array([], pa.list_(pa.int32()))
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    bucket = lists.flatten().to_numpy()
+    value = taken.column("amounts").combine_chunks().flatten().to_numpy() if taken.num_rows else bucket.astype(np.float32)
 
-    # a bounded sample: about most_rows rows of at most FEATURES numbers
-    taken = sample.mapInArrow(
-        sparse, "id string, y int, feature array<int>, amount array<double>"
-    ).toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    x = np.zeros((taken.num_rows, FEATURES if taken.num_rows else 0), dtype=np.float32)
-    for row, (features, amounts) in enumerate(zip(taken.column("feature"), taken.column("amount"))):
-        x[row, features.values.to_numpy()] = amounts.values.to_numpy()
-    return FactorizationMachine.fit(place, x, taken.column("y").to_numpy().astype(np.float32))
+    model = _fit_on(alone, row, bucket, value, y, weight)
+    if not 0 < y.sum() < len(y):
+        return model
+    expected = model.scores(row, bucket, value, len(y))
+    pairs = paired_buckets(row, bucket, value, weight * (expected - y), weight * weight * expected * (1 - expected))
+    pairs = np.setdiff1d(pairs, alone)
+    return _fit_on(np.concatenate([alone, pairs]), row, bucket, value, y, weight) if len(pairs) else model
 
 
 def score_toxicity(documents: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
@@ -207,7 +304,7 @@ def score_toxicity(documents: DataFrame, model: FactorizationMachine, text: str
         for batch in batches:
             for start, end, words in word_blocks(batch.column(place)):
                 part = batch.slice(start, end - start)
-                values = known.scores(words, end - start)
+                values = known.scores(*_bags(words), end - start)
                 arrays = [part.column(batch.schema.get_field_index(name)) for name in kept]
                 arrays += [pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,63 @@ def test_toxicity_learns_pairs_and_handles_odd_rows(spark, odd, none):
     assert toxicity.score_toxicity(odd, empty).where("score is null").count() == 0
 
 
+def test_toxicity_learns_a_pair_of_words_that_are_neutral_alone(spark):
+    pick, texts, labels = random.Random(3), [], []
+    for n in range(4000):
+        one, other = pick.random() < 0.5, pick.random() < 0.5
+        words = [f"noise{pick.randrange(5000)}" for _ in range(25)] + ["zebra"] * one + ["teapot"] * other
+        pick.shuffle(words)
+        texts.append((n, " ".join(words)))
+        labels.append((n, int(one != other)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~is_held_out())
+    scored = toxicity.score_toxicity(docs, model).where(is_held_out()).collect()
+    assert np.mean([(r.score >= 0.5) == labels[r.doc_id][1] for r in scored]) > 0.95
+
+
+def test_toxicity_scores_equal_the_formula(spark):
+    texts = ["zork blarg blarg", "insulting words, insulting", "", None, "plain"]
+    place = np.arange(toxicity.BUCKETS)
+    random_ = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(
+        place, -1.0, random_.normal(size=toxicity.BUCKETS), random_.normal(0, 0.3, (toxicity.BUCKETS, toxicity.FACTORS))
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in toxicity.score_toxicity(docs, model).collect():
+        counts = Counter()
+        for word in re.findall("[0-9a-z]+", (row.text or "").lower()):
+            for size, term in [(0, word)] + [(size, word[:size]) for size in toxicity.STEMS if len(word) > size]:
+                counts[(int(blocks.phrase_hashes(term)[0]) + size) % toxicity.BUCKETS] += 1
+        logit = -1.0 + sum(model.weights[b] * np.log2(1 + n) for b, n in counts.items())
+        for (b, n), (c, m) in itertools.combinations(counts.items(), 2):
+            logit += model.factors[b] @ model.factors[c] * np.log2(1 + n) * np.log2(1 + m)
+        assert row.score == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    fit = toxicity._fit_on
+
+    def spy(chosen, row, bucket, value, y, weight):
+        seen.append((len(y), len(bucket), float(weight.sum())))
+        return fit(chosen, row, bucket, value, y, weight)
+
+    monkeypatch.setattr(toxicity, "_fit_on", spy)
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = spark.range(3000).select(
+        F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")
+    )
+    toxicity.train(docs.unionByName(docs.withColumn("doc_id", F.lit(2).cast("long"))), marks, F.lit(True), most_rows=100)
+    assert 50 <= seen[-1][0] <= 100
+    # equal rows are one, with their number as weight
+    same = docs.withColumn("text", F.lit("word")).unionByName(docs.limit(10).withColumn("doc_id", F.lit(2).cast("long")))
+    toxicity.train(same, marks, F.lit(True))
+    assert seen[-1][0] == 11 and seen[-1][2] == 3010
+    monkeypatch.setattr(toxicity, "MOST_NUMBERS", 30)
+    toxicity.train(same, marks, F.lit(True))
+    assert 0 < seen[-1][1] <= 30
+
+
 # top-k ----------------------------------------------------------------------------------------
 
 
