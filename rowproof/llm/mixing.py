@@ -10,8 +10,8 @@ of the largest source. A source of any size is spread over many nodes. All choic
 rows, so reruns agree whatever the partitioning.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; null is a source of its own, the last
-one; rows equal in every used column form one unit with a count, so a row repeated any number of
-times is no hot group; an empty table gives an empty result; other columns are ignored (``mix``) or kept
+one; rows equal in every used column form one unit with a count, and more than ``AT_ONCE`` copies of it are
+written out by several tasks; an empty table gives an empty result; other columns are ignored (``mix``) or kept
 (``mixed_documents``).
 """
 
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from rowproof.llm.common import text_of
 from rowproof.operators.lookup import lookup
-from rowproof.operators.ordering import number_rows
+from rowproof.operators.ordering import COPIES_AT_ONCE, number_rows
 from rowproof.session import cut
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 FAN = 32
+AT_ONCE = COPIES_AT_ONCE
 
 
 def _targets(units: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
@@ -165,6 +166,31 @@ def plan_mix(
     return settled.unionByName(rounded)
 
 
+def _written_out(groups: DataFrame, count: str, rows: DataFrame | None = None) -> DataFrame:
+    """``groups``, joined with ``rows`` by k1 and k2, as often as ``count`` says, with ``_copy`` from 1.
+
+    A group of more than ``AT_ONCE`` copies is cut into chunks that are spread over the cluster.
+    """
+
+    def joined(some: DataFrame) -> DataFrame:
+        return some if rows is None else rows.join(some, ["k1", "k2"])
+
+    one = F.lit(1).cast("long")
+    few = joined(groups.where(F.col(count) <= AT_ONCE)).select("*", F.explode(F.sequence(one, F.col(count))).alias("_copy"))
+    large = groups.where(F.col(count) > AT_ONCE)
+    if large.isEmpty():
+        return few
+    last = F.floor((F.col(count) - 1) / AT_ONCE)
+    chunks = large.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # the row joins its group before the chunks are spread: equal rows are one up to here. With a number, as
+    # chunks are few bytes before they are written out and would be put together again
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = joined(chunks).repartition(tasks, "k1", "k2", "_chunk")
+    start = F.col("_chunk") * AT_ONCE
+    copy = F.explode(F.sequence(start + 1, F.least(start + AT_ONCE, F.col(count)))).alias("_copy")
+    return few.unionByName(spread.select("*", copy).drop("_chunk"))
+
+
 def mix(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -184,8 +210,7 @@ def mix(
     rows = rows.withColumn("k1", F.xxhash64("_id", "source", "size")).withColumn(
         "k2", F.xxhash64(F.lit(3), "size", "_id", "source")
     )
-    planned = plan_mix(rows, ["_id"], weights, share, most)
-    each = planned.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    each = _written_out(cut(plan_mix(rows, ["_id"], weights, share, most)), "_n")
     times = F.col("_base") + (F.col("_copy") <= F.col("_more")).cast("long")
     return each.select(
         F.col("_id").alias(id_column),
@@ -219,10 +244,6 @@ def mixed_documents(
         F.regexp_count(text_of(documents, text), F.lit(WORD)).cast("long").alias("size"),
     )
     planned = plan_mix(rows, [], weights, share, most)
-    copies = planned.select("k1", "k2", (F.col("_base") * F.col("_n") + F.col("_more")).alias("_copies"))
+    copies = cut(planned.select("k1", "k2", (F.col("_base") * F.col("_n") + F.col("_more")).alias("_copies")))
     distinct = keyed.groupBy("k1", "k2").agg(F.first("_row").alias("_row"))
-    return (
-        distinct.join(copies.where(F.col("_copies") > 0), ["k1", "k2"])
-        .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select("_row.*")
-    )
+    return _written_out(copies.where("_copies > 0"), "_copies", distinct).select("_row.*")

@@ -369,6 +369,27 @@ def test_mixing_targets_and_rounding(spark, odd, none):
     assert abs(sum(len((r.text or "").split()) for r in mixed.collect()) - sum(target.values())) <= 60 * len(names)
 
 
+def test_a_row_repeated_very_often_is_written_out_by_many_tasks(spark, monkeypatch):
+    once = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.lit("a b")).alias("text"), F.lit("s").alias("source")
+    )
+    same = spark.range(100_000).select(
+        F.lit(7).cast("long").alias("doc_id"), F.lit("the same three").alias("text"), F.lit("t").alias("source")
+    )
+    docs = once.unionByName(same)
+    plain = {str(r): r["n"] for r in mixing.mix(docs).groupBy("doc_id", "size", "taken").agg(F.count("*").alias("n")).collect()}
+    texts = {str(r) for r in mixing.mixed_documents(docs).groupBy("doc_id", "text").count().collect()}
+    monkeypatch.setattr(mixing, "AT_ONCE", 2000)
+    chunked = mixing.mix(docs)
+    assert {str(r): r["n"] for r in chunked.groupBy("doc_id", "size", "taken").agg(F.count("*").alias("n")).collect()} == plain
+    assert chunked.count() == 102_000
+    mixed = mixing.mixed_documents(docs)
+    assert {str(r) for r in mixed.groupBy("doc_id", "text").count().collect()} == texts
+    for result in (chunked, mixed):
+        largest = result.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 0.5 * result.count()
+
+
 # transcripts ----------------------------------------------------------------------------------
 
 
