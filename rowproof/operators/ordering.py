@@ -88,10 +88,12 @@ def number_copies(
         *names, "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias(_AT)
     )
     last = F.floor((F.col("_copies") - 1) / at_once)
+    # a number, or chunks, being few bytes before they are written out, would be put together again
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (
         placed.where(F.col("_copies") > at_once)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .repartition("_first", "_chunk")
+        .repartition(tasks, "_first", "_chunk")
     )
     start = F.col("_chunk") * at_once
     end = F.least(start + at_once, F.col("_copies")) - 1

@@ -35,6 +35,13 @@ def test_copies_get_positions_of_their_own(spark, at_once):
     assert sorted(r["position"] for r in rows) == list(range(len(values)))
 
 
+def test_copies_of_one_row_are_written_out_by_several_tasks(spark):
+    frame = spark.range(50_000).select(F.lit("same").alias("key"))
+    rows = number_copies(frame, ["key"], "position", 1000)
+    tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 50_000 and max(r["count"] for r in tasks) < 25_000
+
+
 def test_positions_of_nothing(spark):
     assert number_rows(spark.createDataFrame([], "id long"), ["id"]).count() == 0
 
