@@ -215,6 +215,23 @@ def test_threshold_stops_before_the_end():
     assert sorted(zip((-score).tolist(), row.tolist())) == best and sum(asked) < 500
 
 
+def test_threshold_decides_on_clustered_vectors(spark):
+    """64 dimensions, 12 clusters: less than half of the pairs is scored, the result is that of brute force."""
+    pick = np.random.default_rng(5)
+    centres = pick.normal(0, 1, (12, 64))
+    table = (centres[pick.integers(0, 12, 2400)] + pick.normal(0, 0.15, (2400, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(table)], "vec_id long, embedding array<float>")
+    scored = spark.sparkContext.accumulator(0)
+    found = topk.top_k(frame, F.col("vec_id") % 20 == 0, 20, block_rows=100, scored=scored)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    whole = np.floor(64 * table.astype(np.float64)).astype(int)
+    for query in range(0, 2400, 20):
+        score = whole @ whole[query]
+        order = sorted((-int(s), i) for i, s in enumerate(score) if i != query)[:20]
+        assert [got[query, n + 1] for n in range(20)] == [(i, -s) for s, i in order]
+    assert 120 * 20 <= scored.value < 120 * 2400 / 2
+
+
 # language -------------------------------------------------------------------------------------
 
 
