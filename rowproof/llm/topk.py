@@ -7,8 +7,8 @@ queries) pair is one bounded task. It sorts every dimension once. The threshold
 at that depth of the lists, each from the end that helps the query; the first depth whose threshold is below the
 k-th score so far is where this query stops. Depth 0 skips the block; else its own lists are read in doubling
 depth and the rows seen are scored, until the depth read is the depth to stop at. A tie could still win by its smaller
-id, so equality goes on. Only a query that would read as many list entries as the block has rows scores all
-of them at once instead, as reading could save nothing. The best k of every block are merged by a window.
+id, so equality goes on. Only a query whose depth to stop at comes to as many list entries as the block has rows scores
+all of them at once instead, as reading could save nothing. The best k of every block are merged by a window.
 
 Defined cases: vectors that are null or empty or hold null or non-finite components, and rows without an id, take
 no part; shorter vectors count as filled with zeros; of several rows with one id the smallest vector asks,
@@ -85,8 +85,10 @@ class SortedLists:
             depth, rows, scores = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
             while depth < stop[query]:
                 depth = min(max(DEPTH, 2 * depth), int(stop[query]))
+                # with a k-th score known, the depth to stop at tells at once whether reading saves anything
+                ahead = int(stop[query]) if kth[query] > _LOW else depth
                 # a query of zeros has no list, every row scores 0
-                if not lists[query] or depth * lists[query] >= size:
+                if not lists[query] or ahead * lists[query] >= size:
                     whole.append(query)
                     rows = rows[:0]
                     break
@@ -100,9 +102,16 @@ class SortedLists:
                 found.append((np.full(best.shape[1], query), chosen[0], best[0]))
         if whole:
             every = np.arange(size)
+            whole = np.array(whole)
             best = self.score(query_ids[whole], queries[whole], every)
-            best, rows = _top(best, np.broadcast_to(every, best.shape), k, size)
-            found.append((np.repeat(whole, best.shape[1]), rows.ravel(), best.ravel()))
+            enough = best >= floors[whole][:, None]
+            few = enough.sum(axis=1) <= k
+            place, row = np.nonzero(enough & few[:, None])
+            found.append((whole[place], row, best[place, row]))
+            if not few.all():
+                whole, best = whole[~few], best[~few]
+                best, rows = _top(best, np.broadcast_to(every, best.shape), k, size)
+                found.append((np.repeat(whole, best.shape[1]), rows.ravel(), best.ravel()))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         query, row, score = (np.concatenate(part) for part in zip(*found))
