@@ -992,6 +992,17 @@ GROUP BY asked.id
 """
 
 SQL["lof_scores_blocks"] = SQL["lof_scores"]
+# copies count, so a vector needs fewer other vectors the more copies these have
+SQL["lof_recall"] = """
+WITH groups AS (
+  SELECT CAST(embedding AS DOUBLE[]) AS v, min(vec_id) AS ref, count(*) AS copies FROM embeddings GROUP BY v
+), pairs AS (
+  SELECT a.ref AS query, b.copies, sum(b.copies) OVER (
+           PARTITION BY a.ref ORDER BY list_distance(a.v, b.v), b.ref ROWS UNBOUNDED PRECEDING) AS upto
+  FROM groups a, groups b
+)
+SELECT count(*) AS exact_pairs, TRUE AS recall_reached FROM pairs WHERE upto - copies < 35
+"""
 
 # --- review queues -----------------------------------------------------------------------
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from rowproof.functions import text as X
 from rowproof.operators import anomaly, contract, defects, evaluate, features, iforest, lof
-from rowproof.operators import normalize, ordering, profile, rerank, review
+from rowproof.operators import neighbours, normalize, ordering, profile, projections, rerank, review
 from rowproof.operators import rules as R
 from rowproof.plans import baseline, batch, experiment, views
 from rowproof.plans.catalogue import DEFECTS_PER_TYPE, WEIGHTS, Issue
@@ -819,6 +819,18 @@ def lof_scores_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(lof.score_lof(vectors, lof.fit_lof(vectors, 35, block_rows=64)))
 
 
+@register
+def lof_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether approximate neighbours hold at least 0.9 of the 35 exact ones, and how many pairs were looked for."""
+    groups = cut(neighbours.distinct_vectors(_embeddings(spark, folder)))
+    asked = groups.select(F.col("ref").alias("query"), "vector")
+    exact = cut(neighbours.nearest_neighbours(asked, neighbours.build_index(groups), 35))
+    found = projections.approximate_neighbours(asked, groups, 35, slice_rows=512)
+    return projections.recall(found, exact).select(
+        F.col("pairs").alias("exact_pairs"), (F.col("recall") >= 0.9).alias("recall_reached")
+    )
+
+
 @register
 def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _embeddings(spark, folder)
