@@ -23,25 +23,25 @@ class Scored:
     findings: DataFrame
 
 
-def _numbered(placed: DataFrame, table: str, order: Sequence[str] | None) -> DataFrame:
-    """(_place, _record_id) by the given order, else by all columns."""
+def _numbered(placed: DataFrame, order: Sequence[str] | None) -> DataFrame:
+    """(_place, _position) by the given order, else by all columns."""
     names = [name for name in placed.columns if name != PLACE]
-    positions = place_positions(placed, order or names, "_position")
-    return positions.select(PLACE, record_id(table).alias("_record_id"))
+    return place_positions(placed, order or names, "_position")
 
 
-def _with_ids(placed: DataFrame, ids: DataFrame) -> DataFrame:
-    return placed.join(ids.hint("shuffle_hash"), PLACE).drop(PLACE)
+def _with_ids(placed: DataFrame, positions: DataFrame, table: str) -> DataFrame:
+    named = placed.join(positions.hint("shuffle_hash"), PLACE).withColumn("_record_id", record_id(table))
+    return named.drop(PLACE, "_position")
 
 
-def _named(findings: DataFrame, ids: dict[str, DataFrame]) -> DataFrame:
-    """Findings by place get the record ids of their rows; only narrow rows move."""
+def _named(findings: DataFrame, positions: dict[str, DataFrame]) -> DataFrame:
+    """Findings by place get the record ids of their rows; only numbers move to meet them."""
     parts = [
         findings.where(F.col("target_table") == table)
         .withColumn(PLACE, F.col("record_id").cast("long"))
         .join(known, PLACE)
-        .select(*[F.col("_record_id" if n == "record_id" else n).alias(n) for n in findings.columns])
-        for table, known in ids.items()
+        .select(*[(record_id(table) if n == "record_id" else F.col(n)).alias(n) for n in findings.columns])
+        for table, known in positions.items()
     ]
     return ranked(reduce(DataFrame.unionByName, parts))
 
@@ -60,15 +60,17 @@ def score_batch(
     order columns alone and given to the findings.
     """
     parent, child = validate_pair(vendors, transactions, contract)
-    ids = {
-        "vendor": _numbered(parent, "vendor", vendor_order),
-        "transaction": _numbered(child, "transaction", transaction_order),
+    positions = {
+        "vendor": _numbered(parent, vendor_order),
+        "transaction": _numbered(child, transaction_order),
     }
     found = run_rules(
         parent, child, procurement_rules(fiscal_year), contract.weights, record_id=PLACE, ordered=False
     )
-    findings = _named(cut(found), ids)
-    return Scored(_with_ids(parent, ids["vendor"]), _with_ids(child, ids["transaction"]), findings)
+    findings = _named(cut(found), positions)
+    return Scored(
+        _with_ids(parent, positions["vendor"], "vendor"), _with_ids(child, positions["transaction"], "transaction"), findings
+    )
 
 
 def score_records(
@@ -91,4 +93,4 @@ def score_records(
         record_id=PLACE,
         ordered=False,
     )
-    return _named(cut(found), {table: _numbered(valid, table, order)})
+    return _named(cut(found), {table: _numbered(valid, order)})
