@@ -17,7 +17,7 @@ from rowproof.operators.lookup import lookup
 from rowproof.session import cut, small_table
 
 _PART, _AT, _BEFORE = "_part", "_at", "_before"
-PLACE = "_place"
+PLACE, DIGEST = "_place", "_digest"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its lower bits
 COPIES_AT_ONCE = 100_000  # rows that one task may write out for one group of equal rows
 
@@ -70,14 +70,25 @@ def _digest(placed: DataFrame) -> Column:
     )
 
 
-def place_positions(placed: DataFrame, order: Sequence[str], column: str = "position") -> DataFrame:
-    """(_place, position) under ``order``; ties go by a digest of the row, equal rows by their places.
+def with_digest(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``frame`` with a hash of the named columns, so that ``place_positions`` need not read them again."""
+    return frame.withColumn(DIGEST, _digest(frame.select(*[f"`{name}`" for name in names])))
+
+
+def place_positions(
+    placed: DataFrame, order: Sequence[str], column: str = "position", kept: Sequence[str] = ()
+) -> DataFrame:
+    """(_place, ``kept``, position) under ``order``; ties go by a digest of the row, equal rows by their places.
 
     Only these narrow columns are sorted: wide rows stay where they were written, and a row that is
     repeated a million times is a million places, not one key.
     """
-    narrow = placed.select(*[f"`{name}`" for name in order], _digest(placed).alias("_digest"), PLACE)
-    return number_rows(narrow, [*order, "_digest", PLACE], column).select(PLACE, column)
+    digest = F.col(DIGEST) if DIGEST in placed.columns else _digest(placed)
+    names = list(dict.fromkeys([*order, *kept]))
+    narrow = placed.select(*[f"`{name}`" for name in names], digest.alias(DIGEST), PLACE)
+    sorted_only = [name for name in names if name not in kept]
+    numbered = number_rows(narrow, [*order, DIGEST, PLACE], column, without=[*sorted_only, DIGEST])
+    return numbered.select(PLACE, *[f"`{name}`" for name in kept], column)
 
 
 def number_narrow(frame: DataFrame, order: Sequence[str], column: str = "position") -> DataFrame:

@@ -25,13 +25,17 @@ HIGHEST_RISK = 100
 
 @dataclass(frozen=True, eq=False)
 class Rule:
-    """``predicate`` null means no finding. ``lookup_key`` asks for a key flag first."""
+    """``predicate`` null means no finding. ``lookup_key`` asks for a key flag first.
+
+    ``columns`` are those of its table that predicate, evidence and lookup read.
+    """
 
     issue: Issue
     predicate: Column | None
     evidence: Column
     lookup_key: str | None = None
     parent_key: str | None = None
+    columns: tuple[str, ...] = ()
 
     @property
     def relationship(self) -> bool:
@@ -52,14 +56,15 @@ class Rule:
 def blank(issue: Issue, column: str) -> Rule:
     value = F.col(column)
     empty = value.isNull() | (strip(value.cast("string")) == "")
-    return Rule(issue, empty, F.lit(f"{column} is missing"))
+    return Rule(issue, empty, F.lit(f"{column} is missing"), columns=(column,))
 
 
 def not_matching(issue: Issue, column: str, pattern: str, description: str) -> Rule:
     """Not null and not a full match. ``\\z``, since ``$`` lets a final newline pass."""
     value = F.col(column)
     bad = value.isNotNull() & ~value.rlike(rf"\A(?:{pattern})\z")
-    return Rule(issue, bad, F.concat(F.lit(f"{column}="), shown(value), F.lit(f" {description}")))
+    text = F.concat(F.lit(f"{column}="), shown(value), F.lit(f" {description}"))
+    return Rule(issue, bad, text, columns=(column,))
 
 
 def outside_domain(
@@ -69,29 +74,29 @@ def outside_domain(
     value = F.col(column)
     bad = (F.col(when) == equals) & ~F.coalesce(value.isin(*allowed), F.lit(False))
     text = F.concat(F.lit(f"{column}="), shown(value), F.lit(f" is invalid for {equals}"))
-    return Rule(issue, bad, text)
+    return Rule(issue, bad, text, columns=(when, column))
 
 
 def duplicated(issue: Issue, key: str) -> Rule:
     text = F.concat(F.lit(f"{key}="), shown(F.col(key)), F.lit(" appears more than once"))
-    return Rule(issue, None, text, lookup_key=key)
+    return Rule(issue, None, text, lookup_key=key, columns=(key,))
 
 
 def orphan(issue: Issue, key: str, parent_key: str, parent: str) -> Rule:
     text = F.concat(
         F.lit(f"{key}="), shown(F.col(key)), F.lit(f" does not identify a {parent} record")
     )
-    return Rule(issue, None, text, lookup_key=key, parent_key=parent_key)
+    return Rule(issue, None, text, lookup_key=key, parent_key=parent_key, columns=(key,))
 
 
 def before(issue: Issue, end: str, start: str) -> Rule:
-    return Rule(issue, F.col(end) < F.col(start), F.lit(f"{end} is before {start}"))
+    return Rule(issue, F.col(end) < F.col(start), F.lit(f"{end} is before {start}"), columns=(end, start))
 
 
 def negative(issue: Issue, column: str) -> Rule:
     value = F.col(column)
     text = F.concat(F.lit(f"{column}="), shown(value.cast("long")), F.lit(" is negative"))
-    return Rule(issue, value < 0, text)
+    return Rule(issue, value < 0, text, columns=(column,))
 
 
 def outside_window(issue: Issue, column: str, low: datetime, high: datetime, label: str) -> Rule:
@@ -99,7 +104,7 @@ def outside_window(issue: Issue, column: str, low: datetime, high: datetime, lab
     value = F.col(column)
     bad = value.isNull() | (value < F.lit(low)) | (value > F.lit(high))
     text = F.concat(F.lit(f"{column}="), shown_time(value), F.lit(f" is outside {label}"))
-    return Rule(issue, bad, text)
+    return Rule(issue, bad, text, columns=(column,))
 
 
 def fiscal_window(fiscal_year: int) -> tuple[datetime, datetime]:
@@ -157,6 +162,17 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
     return used.join(present, key, "left_anti")
 
 
+def columns_read(rules: Sequence[Rule], table: str) -> list[str]:
+    """The columns of ``table`` that the rules look at, also from the other table by a relationship."""
+    read: list[str] = []
+    for rule in rules:
+        if rule.issue.table == table:
+            read += rule.columns
+        elif rule.relationship:
+            read.append(rule.parent_key)
+    return list(dict.fromkeys(read))
+
+
 def _key_table(rule: Rule, frame: DataFrame, parent: DataFrame | None) -> DataFrame:
     if rule.relationship:
         keys = orphan_keys(frame, rule.lookup_key, parent, rule.parent_key)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rowproof.operators.contract import PROCUREMENT, Contract, validate_pair, validated_copy
 from rowproof.operators.normalize import record_id
-from rowproof.operators.ordering import PLACE, place_positions
-from rowproof.operators.rules import procurement_rules, ranked, run_rules
+from rowproof.operators.ordering import DIGEST, PLACE, place_positions
+from rowproof.operators.rules import columns_read, procurement_rules, ranked, run_rules
 from rowproof.session import cut
 
 
@@ -23,27 +21,21 @@ class Scored:
     findings: DataFrame
 
 
-def _numbered(placed: DataFrame, order: Sequence[str] | None) -> DataFrame:
-    """(_place, _position) by the given order, else by all columns."""
-    names = [name for name in placed.columns if name != PLACE]
-    return place_positions(placed, order or names, "_position")
+def _numbered(placed: DataFrame, order: Sequence[str] | None, kept: Sequence[str] = ()) -> DataFrame:
+    """(_place, ``kept``, _position) by the given order, else by all columns."""
+    names = [name for name in placed.columns if name not in (PLACE, DIGEST)]
+    return place_positions(placed, order or names, "_position", kept)
 
 
-def _with_ids(placed: DataFrame, positions: DataFrame, table: str) -> DataFrame:
+def _with_ids(placed: DataFrame, numbered: DataFrame, table: str) -> DataFrame:
+    positions = numbered.select(PLACE, "_position")
     named = placed.join(positions.hint("shuffle_hash"), PLACE).withColumn("_record_id", record_id(table))
-    return named.drop(PLACE, "_position")
+    return named.drop(PLACE, DIGEST, "_position")
 
 
-def _named(findings: DataFrame, positions: dict[str, DataFrame]) -> DataFrame:
-    """Findings by place get the record ids of their rows; only numbers move to meet them."""
-    parts = [
-        findings.where(F.col("target_table") == table)
-        .withColumn(PLACE, F.col("record_id").cast("long"))
-        .join(known, PLACE)
-        .select(*[(record_id(table) if n == "record_id" else F.col(n)).alias(n) for n in findings.columns])
-        for table, known in positions.items()
-    ]
-    return ranked(reduce(DataFrame.unionByName, parts))
+def _named(numbered: DataFrame, table: str) -> DataFrame:
+    """What the rules read, with the record ids: findings need not meet their rows again."""
+    return numbered.withColumn("_record_id", record_id(table)).drop(PLACE, "_position")
 
 
 def score_batch(
@@ -56,20 +48,22 @@ def score_batch(
 ) -> Scored:
     """Unknown vendor keys fail the validation, so the orphan rule finds nothing here.
 
-    Each table is written once, typed. Rules run on rows by their place; positions are computed from the
-    order columns alone and given to the findings.
+    Each table is written once, typed. Positions are computed from the order columns; the few columns that
+    the rules read move along, so that rules run on numbered rows.
     """
     parent, child = validate_pair(vendors, transactions, contract)
-    positions = {
-        "vendor": _numbered(parent, vendor_order),
-        "transaction": _numbered(child, transaction_order),
+    rules = procurement_rules(fiscal_year)
+    numbered = {
+        "vendor": _numbered(parent, vendor_order, columns_read(rules, "vendor")),
+        "transaction": _numbered(child, transaction_order, columns_read(rules, "transaction")),
     }
     found = run_rules(
-        parent, child, procurement_rules(fiscal_year), contract.weights, record_id=PLACE, ordered=False
+        *[_named(rows, table) for table, rows in numbered.items()], rules, contract.weights, ordered=False
     )
-    findings = _named(cut(found), positions)
     return Scored(
-        _with_ids(parent, positions["vendor"], "vendor"), _with_ids(child, positions["transaction"], "transaction"), findings
+        _with_ids(parent, numbered["vendor"], "vendor"),
+        _with_ids(child, numbered["transaction"], "transaction"),
+        ranked(cut(found)),
     )
 
 
@@ -82,15 +76,16 @@ def score_records(
 ) -> DataFrame:
     """Findings of one table without looking at the other one."""
     valid = validated_copy(records, contract.table(table), table)
-    vendors, transactions = (valid, None) if table == "vendor" else (None, valid)
+    rules = procurement_rules(fiscal_year)
+    rows = _named(_numbered(valid, order, columns_read(rules, table)), table)
+    vendors, transactions = (rows, None) if table == "vendor" else (None, rows)
     found = run_rules(
         vendors,
         transactions,
-        procurement_rules(fiscal_year),
+        rules,
         contract.weights,
         targets=(table,),
         relationships=False,
-        record_id=PLACE,
         ordered=False,
     )
-    return _named(cut(found), {table: _numbered(valid, order)})
+    return ranked(cut(found))
